@@ -32,6 +32,25 @@ def _target_ranks(p: float | str, n: Column) -> tuple[Column, Column, Column]:
     return lower, F.ceil(r), r - lower
 
 
+def _with_literals(base: DataFrame, row) -> DataFrame:
+    if not row["_n"]:
+        return base.select("*", F.lit(0).cast("long").alias("_n")).where(F.lit(False)).withColumn(
+            "_wanted", F.expr("array(struct(0 AS i, 0D AS low, 0D AS high, 0L AS k0, 0L AS k1, 0D AS w))")
+        )
+    items = [
+        F.struct(
+            F.lit(q["i"]).alias("i"),
+            F.lit(q["low"]).alias("low"),
+            F.lit(q["high"]).alias("high"),
+            F.lit(q["k0"]).cast("long").alias("k0"),
+            F.lit(q["k1"]).cast("long").alias("k1"),
+            F.lit(q["w"]).cast("double").alias("w"),
+        )
+        for q in row["_wanted"]
+    ]
+    return base.withColumn("_n", F.lit(row["_n"]).cast("long")).withColumn("_wanted", F.array(*items))
+
+
 def exact_percentiles(
     df: DataFrame,
     keys: list[str],
@@ -80,8 +99,10 @@ def exact_percentiles(
             )
         )
     plan = small_side(brackets.select(*keys, "_n", F.array(*wanted).alias("_wanted")))
-
-    joined = base.join(plan, keys) if keys else base.join(plan, F.lit(True))
+    if keys:
+        joined = base.join(plan, keys)
+    else:  # one summary row: its numbers become literals of the second pass
+        joined = _with_literals(base, plan.first())
     rows = joined.select(*keys, "_n", "_v", F.explode("_wanted").alias("_q")).where(
         F.col("_v") <= F.col("_q.high")
     )
