@@ -24,14 +24,14 @@ def p30(t):
 @query(
     "a11_transaction_summary",
     """SELECT municipality, year(transaction_date) || 'Q' || quarter(transaction_date) AS transaction_quarter,
-       count(*) AS count, round(avg(fair_market_value), 2) AS mean_value, round(sum(fair_market_value), 1) AS total_value,
+       count(*) AS count, round(avg(fair_market_value), 2) AS mean_value, round(sum(fair_market_value), 2) AS total_value,
        round(median(fair_market_value), 3) AS median_value FROM px_transfer_tax GROUP BY 1, 2""",
 )
 def a11(t):
     out = market.transaction_summary(t("px_transfer_tax"))
     return out.select(
         "municipality", "transaction_quarter", "count", F.round("mean_value", 2).alias("mean_value"),
-        F.round("total_value", 1).alias("total_value"), F.round("median_value", 3).alias("median_value"),
+        F.round("total_value", 2).alias("total_value"), F.round("median_value", 3).alias("median_value"),
     )
 
 
@@ -93,7 +93,7 @@ def p28b(t):
     """WITH m AS (SELECT c_custkey % 200 AS school_id, s FROM (
          SELECT c_custkey, list_avg(list_filter([CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_custkey % 101 AS DOUBLE) END,
            CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(c_custkey % 37 AS DOUBLE) END,
-           CAST(c_nationkey AS DOUBLE)], x -> x IS NOT NULL)) AS s FROM customer) r WHERE s IS NOT NULL),
+           CAST(c_nationkey AS DOUBLE)], lambda x: x IS NOT NULL)) AS s FROM customer) r WHERE s IS NOT NULL),
        a AS (SELECT school_id, avg(s) AS raw_score FROM m GROUP BY 1)
        SELECT school_id, round(raw_score, 4) AS raw_score, round(CASE WHEN max(raw_score) OVER () > min(raw_score) OVER ()
          THEN (raw_score - min(raw_score) OVER ()) / (max(raw_score) OVER () - min(raw_score) OVER ()) * 100 ELSE 50 END, 4)
@@ -239,7 +239,7 @@ def s20(t):
 @query(
     "p10_p11_listing_numbers",
     """SELECT mls_number, sold_price, list_price, sold_price - list_price AS price_diff,
-       round((sold_price - list_price) / list_price * 100, 4) AS price_diff_pct FROM px_sold""",
+       round((sold_price - list_price) / list_price * 100, 8) AS price_diff_pct FROM px_sold""",
 )
 def p10(t):
     from terravalor.functions.text import whole_amount
@@ -250,7 +250,7 @@ def p10(t):
         F.concat(F.lit("$"), F.format_number("list_price", 0), F.lit(".00")).alias("l"),
     )
     typed = text.select("mls_number", whole_amount(F.col("s")).alias("sold_price"), whole_amount(F.col("l")).alias("list_price"))
-    return rounded(ingest.price_difference(typed))
+    return rounded(ingest.price_difference(typed), 8)
 
 
 @query(

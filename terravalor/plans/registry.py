@@ -24,7 +24,7 @@ def query(name: str, oracle: str | None = None):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if oracle is not None:
-            ORACLES[name] = with_views(oracle)
+            ORACLES[name] = oracle
         return fn
 
     return keep
@@ -34,25 +34,23 @@ def run(fn: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], Data
     return lambda spark, sf_dir: fn(Tables(spark, sf_dir))
 
 
-_VIEWS = {**PROXIES, **ORACLE_ONLY}
-_NAME = re.compile(r"\b(?:" + "|".join(sorted(_VIEWS, key=len, reverse=True)) + r")\b")
-
-
 def with_views(sql: str) -> str:
     """Prefix a statement with the views it needs, in dependency order."""
+    views = {**PROXIES, **ORACLE_ONLY}
+    names = re.compile(r"\b(?:" + "|".join(sorted(views, key=len, reverse=True)) + r")\b")
     order: list[str] = []
 
     def visit(text: str) -> None:
-        for name in dict.fromkeys(_NAME.findall(text)):
+        for name in dict.fromkeys(names.findall(text)):
             if name not in order:
-                visit(_VIEWS[name])
+                visit(views[name])
                 if name not in order:
                     order.append(name)
 
     visit(sql)
     if not order:
         return sql.strip()
-    heads = ",\n".join(f"{n} AS (\n{macros(_VIEWS[n], 'duckdb').strip()}\n)" for n in order)
+    heads = ",\n".join(f"{n} AS (\n{macros(views[n], 'duckdb').strip()}\n)" for n in order)
     body = sql.strip()
     if body[:5].upper() == "WITH ":
         return f"WITH {heads},\n{body[5:]}"
