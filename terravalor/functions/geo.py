@@ -23,44 +23,44 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 
 # ---- cells -------------------------------------------------------------------
 # A cell is (band of latitude, column within the band). Column width depends on
-# the band only, so both sides of a join agree on it at every latitude.
+# the band only, so both sides of a join agree on it at every latitude. The
+# expressions are SQL text over column names: one parse instead of many calls.
 
 
-def _band(lat: Column, deg: float) -> Column:
-    return F.floor(lat / F.lit(deg)).cast("long")
+def _d(x: float) -> str:
+    return f"{x!r}D"
 
 
-def _column_width(band: Column, deg: float) -> Column:
-    edge = F.least(F.greatest(F.abs(band), F.abs(band + 1)) * F.lit(deg), F.lit(85.0))
-    return F.lit(deg) / F.cos(F.radians(edge))
+def _degrees(radius_m: float) -> str:
+    return _d(radius_m / CELL_METRES_PER_DEGREE)
 
 
-def cell_of(lat: Column, lon: Column, radius_m: float) -> Column:
-    deg = radius_m / CELL_METRES_PER_DEGREE
+def _band(lat: str, deg: str) -> str:
+    return f"CAST(floor(({lat}) / {deg}) AS BIGINT)"
+
+
+def _column_width(band: str, deg: str) -> str:
+    return f"({deg} / cos(radians(least(greatest(abs({band}), abs({band} + 1)) * {deg}, 85D))))"
+
+
+def cell_sql(lat: str, lon: str, radius_m: float) -> str:
+    """The cell of a point, as struct<band, col>."""
+    deg = _degrees(radius_m)
     band = _band(lat, deg)
-    return F.struct(
-        band.alias("band"), F.floor(lon / _column_width(band, deg)).cast("long").alias("col")
-    )
+    return f"named_struct('band', {band}, 'col', CAST(floor(({lon}) / {_column_width(band, deg)}) AS BIGINT))"
 
 
-def cells_around(
-    lat_min: Column, lat_max: Column, lon_min: Column, lon_max: Column, radius_m: float
-) -> Column:
+def cells_around_sql(lat_min: str, lat_max: str, lon_min: str, lon_max: str, radius_m: float) -> str:
     """All cells that can hold a point within the radius of a box (or a point)."""
-    deg = radius_m / CELL_METRES_PER_DEGREE
-    far = F.least(F.greatest(F.abs(lat_min), F.abs(lat_max)) + F.lit(deg), F.lit(85.0))
-    reach = F.lit(deg) / F.cos(F.radians(far))
-
-    def row(band: Column) -> Column:
-        width = _column_width(band, deg)
-        first = F.floor((lon_min - reach) / width).cast("long")
-        last = F.floor((lon_max + reach) / width).cast("long")
-        return F.transform(
-            F.sequence(first, last), lambda x: F.struct(band.alias("band"), x.alias("col"))
-        )
-
-    bands = F.sequence(_band(lat_min - F.lit(deg), deg), _band(lat_max + F.lit(deg), deg))
-    return F.flatten(F.transform(bands, row))
+    deg = _degrees(radius_m)
+    reach = f"({deg} / cos(radians(least(greatest(abs({lat_min}), abs({lat_max})) + {deg}, 85D))))"
+    width = _column_width("b", deg)
+    bands = f"sequence({_band(f'{lat_min} - {deg}', deg)}, {_band(f'{lat_max} + {deg}', deg)})"
+    columns = (
+        f"sequence(CAST(floor(({lon_min} - {reach}) / {width}) AS BIGINT), "
+        f"CAST(floor(({lon_max} + {reach}) / {width}) AS BIGINT))"
+    )
+    return f"flatten(transform({bands}, b -> transform({columns}, x -> named_struct('band', b, 'col', x))))"
 
 
 # ---- polygons: ring = array<struct<lat, lon>>, last point need not repeat ------
@@ -121,10 +121,15 @@ def ring_mean_lat(ring: Column) -> Column:
 def ring_area_sqm(ring: Column) -> Column:
     """Shoelace area on a plane scaled at the ring's mean latitude."""
     k = F.cos(F.radians(ring_mean_lat(ring)))
+    o_lat, o_lon = ring[0]["lat"], ring[0]["lon"]  # relative to a corner: no cancellation
     cross = F.aggregate(
         ring_edges(ring),
         F.lit(0.0),
-        lambda s, e: s + (e["a"]["lon"] * e["b"]["lat"] - e["b"]["lon"] * e["a"]["lat"]),
+        lambda s, e: s
+        + (
+            (e["a"]["lon"] - o_lon) * (e["b"]["lat"] - o_lat)
+            - (e["b"]["lon"] - o_lon) * (e["a"]["lat"] - o_lat)
+        ),
     )
     return F.abs(cross) / 2 * k * METRES_PER_DEGREE * METRES_PER_DEGREE
 

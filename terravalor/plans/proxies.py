@@ -258,6 +258,7 @@ PROXIES["px_request"] = """
 SELECT c_custkey AS request_id, lpad(CAST(c_custkey AS STRING), 9, '0') AS pid,
        49.20E0 + (c_custkey * 53 % 1000) * 0.0001E0 + 0.00003E0 AS req_lat,
        -123.22E0 + (c_custkey * 71 % 2000) * 0.0001E0 + 0.00003E0 AS req_lon,
+       CASE c_custkey % 3 WHEN 0 THEN 'condo' WHEN 1 THEN 'detached' ELSE 'townhome' END AS req_type,
        CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey % 6 AS INT) END AS bedrooms_override,
        CASE WHEN c_custkey % 6 = 0 THEN 700E0 + c_custkey % 2000 END AS area_override
 FROM customer

@@ -60,8 +60,9 @@ class Tables:
     def properties(self) -> DataFrame:
         """Universe after the serving fixes (inclusive zone, duplex lots)."""
         from terravalor.operators import universe
+        from terravalor.session import materialize
 
-        return universe.mark_duplex(universe.fix_inclusive_zone(self.universe))
+        return materialize(universe.mark_duplex(universe.fix_inclusive_zone(self.universe)))
 
     @cached_property
     def sold(self) -> DataFrame:
@@ -72,5 +73,14 @@ class Tables:
     @cached_property
     def matched(self) -> DataFrame:
         from terravalor.operators import match
+        from terravalor.session import materialize
 
-        return match.match_sales(self.sold, self.properties)
+        return materialize(match.match_sales(self.sold, self.properties))
+
+    @cached_property
+    def locations(self) -> DataFrame:
+        """Distinct property points: spatial features depend on nothing else."""
+        from terravalor.operators import spatial
+        from terravalor.session import materialize
+
+        return materialize(spatial.distinct_points(self.universe))
