@@ -63,6 +63,18 @@ def cells_around_sql(lat_min: str, lat_max: str, lon_min: str, lon_max: str, rad
     return f"flatten(transform({bands}, b -> transform({columns}, x -> named_struct('band', b, 'col', x))))"
 
 
+def cells_of_box_sql(lat: str, lon: str, radius_m: float, cell_m: float) -> str:
+    """Cells of one size that cover the circle of another size around a point."""
+    deg, reach = _degrees(cell_m), _degrees(radius_m)
+    wide = f"({reach} / cos(radians(least(abs({lat}) + {reach}, 85D))))"
+    width = _column_width("b", deg)
+    bands = f"sequence({_band(f'{lat} - {reach}', deg)}, {_band(f'{lat} + {reach}', deg)})"
+    columns = (
+        f"sequence(CAST(floor(({lon} - {wide}) / {width}) AS BIGINT), CAST(floor(({lon} + {wide}) / {width}) AS BIGINT))"
+    )
+    return f"flatten(transform({bands}, b -> transform({columns}, x -> named_struct('band', b, 'col', x))))"
+
+
 # ---- polygons: ring = array<struct<lat, lon>>, last point need not repeat ------
 
 

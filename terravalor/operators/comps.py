@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravalor import constants as K
+from terravalor.functions import geo
+from terravalor.session import materialize
 
 
 def ratio_estimate(props: DataFrame, ratios: DataFrame, model_ratio: Column | None = None) -> DataFrame:
@@ -45,3 +47,420 @@ def ratio_estimate(props: DataFrame, ratios: DataFrame, model_ratio: Column | No
             "market_estimate": F.col("total_assessed_value") * blended,
         }
     ).drop("_rt", "_local", "_local_n", "_city", "_city_n")
+
+
+# ---- similarity ---------------------------------------------------------------------------
+
+LN2 = 0.6931471805599453
+
+
+def zone_prefix(zone: Column) -> Column:
+    return F.regexp_replace(F.split(F.upper(F.trim(zone)), "-")[0], "[0-9]+$", "")
+
+
+def zone_category(prefix: Column) -> Column:
+    out = None
+    for name, members in K.ZONE_CATEGORIES:
+        test = prefix.isin(*members)
+        out = F.when(test, name) if out is None else out.when(test, name)
+    return out.otherwise("other")
+
+
+def zoning_distance(a: Column, b: Column) -> Column:
+    """0 equal, 0.3 same prefix, 0.5 same category or missing, else 1."""
+    pa, pb = zone_prefix(a), zone_prefix(b)
+    missing = F.coalesce(a, F.lit("")).eqNullSafe("") | F.coalesce(b, F.lit("")).eqNullSafe("")
+    return (
+        F.when(missing, 0.5)
+        .when(F.upper(F.trim(a)) == F.upper(F.trim(b)), 0.0)
+        .when((pa == pb) & (pa != ""), 0.3)
+        .when(zone_category(pa) == zone_category(pb), 0.5)
+        .otherwise(1.0)
+    )
+
+
+def _one(x: Column) -> Column:
+    return F.least(x, F.lit(1.0))
+
+
+def similarity_terms(weights: dict[str, float], as_of: str | None = None) -> dict[str, Column]:
+    """Dissimilarity per dimension between ``s_`` (subject) and ``c_`` (candidate) columns."""
+    s, c = (lambda n: F.col(f"s_{n}")), (lambda n: F.col(f"c_{n}"))
+    half = F.lit(0.5)
+    months = F.datediff(F.to_date(F.lit(as_of)), c("date")) / 30.44 if as_of else F.lit(None).cast("double")
+    all_terms = {
+        "proximity": lambda: F.least(F.lit(1.0), 1.0 - F.pow(F.lit(2.0), -F.col("dist_m") / 1_000.0)),
+        "value_similarity": lambda: _one(F.abs(F.log(F.greatest(s("value"), F.lit(1.0)) / F.greatest(c("value"), F.lit(1.0)))) / LN2),
+        "year_built": lambda: F.coalesce(_one_or_null(F.abs(s("year_built") - c("year_built")) / 50.0), half),
+        "zoning_match": lambda: zoning_distance(s("zone"), c("zone")),
+        "recency": lambda: F.coalesce(F.when(months.isNotNull(), F.least(F.greatest(months / 24.0, F.lit(0.0)), F.lit(1.0))), half),
+        "living_area": lambda: F.coalesce(_one_or_null(F.abs(s("area") - c("area")) / F.greatest(s("area"), c("area"))), half),
+        "bedroom_match": lambda: F.coalesce(_one_or_null(F.abs(s("bedrooms") - c("bedrooms")) / 3.0), half),
+    }
+    return {name: all_terms[name]() for name in weights}
+
+
+def _one_or_null(x: Column) -> Column:
+    return F.when(x.isNotNull(), F.least(x, F.lit(1.0)))
+
+
+def add_similarity(pairs: DataFrame, weights: dict[str, float] | None = None, as_of: str | None = None) -> DataFrame:
+    """``similarity_score`` (0 = alike) and its terms as a struct; weights are renormalized."""
+    weights = weights or K.ASSESSMENT_WEIGHTS
+    total = sum(weights.values())
+    terms = similarity_terms(weights, as_of)
+    out = pairs.withColumn("terms", F.struct(*[c.alias(n) for n, c in terms.items()]))
+    score = F.lit(0.0)
+    for name, w in weights.items():
+        score = score + F.lit(w / total) * F.col(f"terms.{name}")
+    return out.withColumn("similarity_score", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
+
+
+# ---- comparable properties: exact search without all pairs -----------------------------------
+
+NEAR_M, FAR_M, SEED_M, FINE_M = 2_000.0, 5_000.0, 650.0, 250.0
+VALUE_STEP = 0.1
+SCORE_SLACK = 1e-9
+PROFILE = ("lat", "lon", "value", "year_built", "zone", "property_type")
+
+
+def _profiles(props: DataFrame, k: int) -> DataFrame:
+    """Candidates with equal scores for every subject collapse: k + 1 are kept, the rest are counted.
+
+    ``weight`` sums to the true number of properties, so tier counts stay exact;
+    the best k of a profile are its lowest pids, so the top k stays exact too.
+    """
+    base = props.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
+        "pid", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"),
+        F.col("total_assessed_value").alias("value"), "year_built", F.col("zoning_district").alias("zone"), "property_type",
+    )
+    w = Window.partitionBy(*PROFILE).orderBy("pid")
+    kept = base.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k + 1)
+    counts = base.groupBy(*PROFILE).agg(F.count(F.lit(1)).alias("_n"))
+    same = [kept[c].eqNullSafe(counts[c]) for c in PROFILE]
+    weight = F.when(F.col("_rn") == k + 1, F.col("_n") - k).otherwise(F.lit(1))
+    return kept.join(counts, same).select("pid", *[kept[c] for c in PROFILE], weight.alias("weight"))
+
+
+def _as_candidates(profiles: DataFrame) -> DataFrame:
+    return profiles.select(
+        F.col("pid").alias("c_pid"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), F.col("value").alias("c_value"),
+        F.col("year_built").alias("c_year_built"), F.col("zone").alias("c_zone"), F.col("property_type").alias("c_type"), "weight",
+    )
+
+
+def _as_subjects(subjects: DataFrame) -> DataFrame:
+    return subjects.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
+        F.col("pid").alias("s_pid"), F.col("latitude").alias("s_lat"), F.col("longitude").alias("s_lon"),
+        F.col("total_assessed_value").alias("s_value"), F.col("year_built").alias("s_year_built"),
+        F.col("zoning_district").alias("s_zone"), F.col("property_type").alias("s_type"),
+    )
+
+
+def _value_step(c: str) -> str:
+    return f"CAST(floor(ln(greatest({c}, 1D)) / {VALUE_STEP}D) AS BIGINT)"
+
+
+def _with_distance(pairs: DataFrame) -> DataFrame:
+    d = geo.haversine_m(F.col("s_lat"), F.col("s_lon"), F.col("c_lat"), F.col("c_lon"))
+    return pairs.where(F.col("s_pid") != F.col("c_pid")).withColumn("dist_m", d)
+
+
+def comparable_properties(subjects: DataFrame, props: DataFrame, k: int = 5) -> DataFrame:
+    """The k most similar properties per subject under progressive widening.
+
+    Tiers: same type within 2 km; same type within 5 km; any type within 5 km.
+    The first tier with at least k properties decides, else the last.
+
+    A few seeds per cell, type and value step give each subject an upper bound
+    on its k-th best score. Only candidates whose distance and value alone could
+    still beat it are then scored. Subjects with too few seeds live where their
+    type is sparse and take the plain widening search. Both paths are exact.
+    """
+    weights = K.ASSESSMENT_WEIGHTS
+    profiles = materialize(_profiles(props, k))
+    cand, subj = _as_candidates(profiles), materialize(_as_subjects(subjects))
+
+    # Seeds: k + 1 per (type, cell, value step) and per (type, cell).
+    cell = geo.cell_sql("c_lat", "c_lon", SEED_M)
+    keyed = cand.selectExpr("*", f"{cell} AS _c", f"explode(array({_value_step('c_value')}, -999L)) AS _v")
+    w = Window.partitionBy("c_type", "_c", "_v").orderBy("c_pid")
+    seeds = keyed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k + 1).drop("_rn").withColumnRenamed("c_type", "_type")
+    near = geo.cells_around_sql("s_lat", "s_lat", "s_lon", "s_lon", SEED_M)
+    step = _value_step("s_value")
+    probes = (
+        subj.selectExpr("*", "s_type AS _type", f"explode({near}) AS _c")
+        .selectExpr("*", f"explode(array({step} - 1, {step}, {step} + 1, -999L)) AS _v")
+    )
+    seeded = _with_distance(probes.join(seeds, ["_type", "_c", "_v"])).withColumn("c_type", F.col("_type")).where(F.col("dist_m") <= NEAR_M)
+    once = add_similarity(seeded).select("s_pid", "c_pid", "similarity_score").distinct()
+    w = Window.partitionBy("s_pid").orderBy("similarity_score", "c_pid")
+    bound = materialize(
+        once.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+        .groupBy("s_pid").agg(F.max("similarity_score").alias("_u"), F.count(F.lit(1)).alias("_seeds"))
+        .where(F.col("_seeds") >= k).select("s_pid", "_u")
+    )
+
+    # Dense subjects: the bound leaves a radius and a value band.
+    slack = F.col("_u") - F.lit(weights["recency"] * 0.5) + SCORE_SLACK
+    far = slack / weights["proximity"]
+    reach = F.when(far >= 0.999, NEAR_M).otherwise(F.least(-1_000.0 * F.log2(1.0 - F.greatest(far, F.lit(0.0))) + 0.01, F.lit(NEAR_M)))
+    band = F.least(slack / weights["value_similarity"], F.lit(1.0)) * LN2 + 1e-9
+    # A value term that saturates at 1 bounds nothing: search every step then.
+    dense = subj.join(bound, "s_pid").withColumns(
+        {"_reach": reach, "_open": slack >= weights["value_similarity"], "_band": band}
+    )
+    fine = geo.cell_sql("c_lat", "c_lon", FINE_M)
+    fine_cand = cand.selectExpr("*", "c_type AS _type", f"{fine} AS _c", f"explode(array({_value_step('c_value')}, -999L)) AS _v")
+    sizes = (250.0, 500.0, 1_000.0, 2_000.0)
+    rings = "CASE " + " ".join(
+        f"WHEN _reach <= {r!r}D THEN {geo.cells_of_box_sql('s_lat', 's_lon', r, FINE_M)}" for r in sizes
+    ) + f" ELSE {geo.cells_of_box_sql('s_lat', 's_lon', NEAR_M + 1.0, FINE_M)} END"
+    lo = f"CAST(floor((ln(greatest(s_value, 1D)) - _band) / {VALUE_STEP}D) AS BIGINT)"
+    hi = f"CAST(floor((ln(greatest(s_value, 1D)) + _band) / {VALUE_STEP}D) AS BIGINT)"
+    dense_probes = dense.selectExpr("*", "s_type AS _type", f"explode({rings}) AS _c").selectExpr(
+        "*", f"explode(CASE WHEN _open THEN array(-999L) ELSE sequence({lo}, {hi}) END) AS _v"
+    )
+    close = _with_distance(dense_probes.join(fine_cand, ["_type", "_c", "_v"])).where(
+        (F.col("dist_m") <= NEAR_M) & (F.col("dist_m") <= F.col("_reach") + 0.01)
+    )
+    dense_best = _top_k(add_similarity(close).where(F.col("similarity_score") <= F.col("_u") + SCORE_SLACK), k).withColumn("tier", F.lit(1))
+
+    sparse = subj.join(bound, "s_pid", "left_anti")
+    return dense_best.unionByName(_widening_search(sparse, cand, k))
+
+
+def _widening_search(subj: DataFrame, cand: DataFrame, k: int) -> DataFrame:
+    """All candidates within 5 km, tagged with the smallest tier each satisfies."""
+    probes = subj.selectExpr("*", f"explode({geo.cells_around_sql('s_lat', 's_lat', 's_lon', 's_lon', FAR_M)}) AS _c")
+    placed = cand.selectExpr("*", f"{geo.cell_sql('c_lat', 'c_lon', FAR_M)} AS _c")
+    pairs = _with_distance(probes.join(placed, "_c")).where(F.col("dist_m") <= FAR_M)
+    same = F.col("s_type") == F.col("c_type")
+    tagged = pairs.withColumn("tier", F.when(same & (F.col("dist_m") <= NEAR_M), 1).when(same, 2).otherwise(3))
+    counts = tagged.groupBy("s_pid").agg(
+        F.sum(F.when(F.col("tier") <= 1, F.col("weight"))).alias("_n1"),
+        F.sum(F.when(F.col("tier") <= 2, F.col("weight"))).alias("_n2"),
+    )
+    chosen = counts.select(
+        "s_pid",
+        F.when(F.coalesce("_n1", F.lit(0)) >= k, 1).when(F.coalesce("_n2", F.lit(0)) >= k, 2).otherwise(3).alias("_tier"),
+    )
+    kept = tagged.join(chosen, "s_pid").where(F.col("tier") <= F.col("_tier"))
+    return _top_k(add_similarity(kept).withColumn("tier", F.col("_tier")), k, "tier")
+
+
+def _top_k(scored: DataFrame, k: int, *extra: str) -> DataFrame:
+    w = Window.partitionBy("s_pid").orderBy(F.round("similarity_score", 9), "c_pid")
+    return (
+        scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        .select("s_pid", "c_pid", "rank", "similarity_score", "dist_m", "terms", "s_lat", "s_lon", "c_lat", "c_lon", "s_value", "c_value", "s_year_built", "c_year_built", *extra)
+    )
+
+
+def adjusted_comparables(comps: DataFrame) -> DataFrame:
+    """Comparable values moved toward the subject by age and distance to the centre."""
+    years = F.col("s_year_built") - F.col("c_year_built")
+    age = F.coalesce(F.when(years.isNotNull(), F.least(F.greatest(1.0 + years * 0.005, F.lit(0.80)), F.lit(1.20))), F.lit(1.0))
+
+    def centre(side: str) -> Column:
+        return geo.haversine_m(F.col(f"{side}_lat"), F.col(f"{side}_lon"), F.lit(K.CBD[0]), F.lit(K.CBD[1]))
+
+    nearer = (centre("c") - centre("s")) / 1_000.0
+    place = F.least(F.greatest(1.0 + nearer * 0.02, F.lit(0.85)), F.lit(1.15))
+    return comps.withColumn("adjusted_value", F.greatest(F.col("c_value") * age * place, F.lit(0.0)))
+
+
+def comparable_range(adjusted: DataFrame) -> DataFrame:
+    """Low, median, high per subject; groups hold at most k rows."""
+    v = F.col("adjusted_value")
+    stats = adjusted.groupBy("s_pid").agg(
+        F.count(F.lit(1)).alias("comparable_count"), F.median(v).alias("range_median"), F.min(v).alias("_min"), F.max(v).alias("_max"),
+        F.percentile(v, F.lit(0.25)).alias("_q1"), F.percentile(v, F.lit(0.75)).alias("_q3"),
+    )
+    few = F.col("comparable_count") <= 2
+    return stats.select(
+        "s_pid", "comparable_count", F.when(few, F.col("_min") * 0.95).otherwise(F.col("_q1")).alias("range_low"), "range_median",
+        F.when(few, F.col("_max") * 1.05).otherwise(F.col("_q3")).alias("range_high"),
+    )
+
+
+def comparable_summary(comps: DataFrame) -> DataFrame:
+    v = F.when(F.col("c_value") > 0, F.col("c_value"))
+    return comps.groupBy("s_pid").agg(
+        F.count(F.lit(1)).alias("count"), F.median(v).alias("median_value"), F.avg(v).alias("mean_value"), F.min(v).alias("min_value"),
+        F.max(v).alias("max_value"), F.avg("dist_m").alias("avg_distance_m"), F.avg("similarity_score").alias("avg_similarity"),
+    )
+
+
+def blend_with_comparables(estimate: Column, median: Column, count: Column) -> Column:
+    """struct<value, divergence_pct>: weights by divergence, 90/10 below three comparables."""
+    divergence = F.abs(estimate - median) / F.when(median > 0, median) * 100
+    own = F.when(count < 3, 0.90).when(divergence < 10, 0.80).when(divergence < 20, 0.60).otherwise(0.50)
+    usable = F.coalesce(median, F.lit(0.0)) > 0
+    return F.struct(
+        F.when(usable, own * estimate + (1 - own) * median).otherwise(estimate).alias("value"),
+        F.when(usable, divergence).otherwise(0.0).alias("divergence_pct"),
+    )
+
+
+# ---- comparable sales (market analysis per request) --------------------------------------------
+
+SALE_RADIUS_M, SALE_BAND, SALE_DAYS, WANTED = 2_000.0, 0.10, 365, 3
+
+
+def sale_candidates(sales: DataFrame, as_of: str) -> DataFrame:
+    """Geocoded sales of the last year with the canonical type."""
+    from terravalor.operators.market import canonical_type
+
+    age = F.datediff(F.to_date(F.lit(as_of)), F.col("sold_date"))
+    return sales.where(
+        (F.col("sold_price") > 0) & F.col("latitude").isNotNull() & F.col("assessed_value").isNotNull() & age.between(0, SALE_DAYS)
+    ).select(
+        "mls_number", "sold_price", "list_price", "dom", "sub_area", "floor_area", F.col("year_built").alias("c_year"),
+        F.col("bedrooms").alias("c_beds"), F.col("bathrooms").alias("c_baths"), F.col("latitude").alias("c_lat"),
+        F.col("longitude").alias("c_lon"), F.col("assessed_value").alias("c_value"), age.alias("days_ago"),
+        canonical_type(F.col("property_type")).alias("c_type"),
+    )
+
+
+def comparable_sales(
+    subjects: DataFrame, sales: DataFrame, areas: DataFrame, as_of: str, k: int = 10, days: int = 60, type_fallback: bool = True
+) -> DataFrame:
+    """Best k sales per subject in the first step that finds three.
+
+    Subjects: subject_id, neighbourhood_code, s_type, s_value, s_lat, s_lon, s_area,
+    s_year, s_beds, s_baths. ``areas``: (neighbourhood_code, sub_area, own).
+    Steps relax time and sub-area only: own 60 d, own 120 d, adjacent 120 d,
+    adjacent 180 d, any 365 d, then a fallback type. Each step is a flag on one
+    candidate row, so the join is made once.
+    """
+    cand = sale_candidates(sales, as_of)
+    # ln of the value band is at most 0.1054 on one side, so a step of 0.11 needs one neighbour.
+    step = "CAST(floor(ln(greatest({0}, 1D)) / 0.11D) AS BIGINT)"
+    fallback = F.lit(None).cast("string")
+    for kind, other in K.TYPE_FALLBACKS.items():
+        fallback = F.when(F.col("s_type") == kind, other).otherwise(fallback)
+    subj = subjects.withColumn("_other", fallback if type_fallback else F.lit(None).cast("string"))
+    cells = geo.cells_around_sql("s_lat", "s_lat", "s_lon", "s_lon", SALE_RADIUS_M)
+    v = step.format("s_value")
+    probes = (
+        subj.selectExpr("*", f"explode({cells}) AS _c")
+        .selectExpr("*", f"explode(sequence({v} - 1, {v} + 1)) AS _v")
+        .selectExpr("*", "explode(array_compact(array(s_type, _other))) AS c_type")
+    )
+    placed = cand.selectExpr("*", f"{geo.cell_sql('c_lat', 'c_lon', SALE_RADIUS_M)} AS _c", f"{step.format('c_value')} AS _v")
+    dist = geo.haversine_m(F.col("s_lat"), F.col("s_lon"), F.col("c_lat"), F.col("c_lon"))
+    pairs = (
+        probes.join(placed, ["c_type", "_c", "_v"])
+        .where(F.col("c_value").between(F.col("s_value") * (1 - SALE_BAND), F.col("s_value") * (1 + SALE_BAND)))
+        .withColumn("dist_m", dist).where(F.col("dist_m") <= SALE_RADIUS_M)
+    )
+    near = areas.select("neighbourhood_code", "sub_area", "own", F.lit(True).alias("adjacent"))
+    has = areas.groupBy("neighbourhood_code").agg(F.max("own").alias("_has_own"), F.lit(True).alias("_has_adj"))
+    flagged = (
+        pairs.join(near, ["neighbourhood_code", "sub_area"], "left")
+        .join(has, "neighbourhood_code", "left")
+        .withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("own", "adjacent", "_has_own", "_has_adj")})
+    )
+    age, same = F.col("days_ago"), F.col("c_type") == F.col("s_type")
+    in_scope = F.when(F.col("_has_adj"), F.col("adjacent")).when(F.col("_has_own"), F.col("own")).otherwise(True)
+    steps = [
+        same & F.col("own") & (age <= days), same & F.col("own") & (age <= 120), same & F.col("adjacent") & (age <= 120),
+        same & F.col("adjacent") & (age <= 180), same & (age <= SALE_DAYS), F.col("_other").isNotNull() & in_scope,
+    ]
+    flags = flagged.withColumn("steps", F.array(*steps))
+    counts = flags.groupBy("subject_id").agg(
+        *[F.count_if(F.col("steps")[i]).alias(f"_n{i}") for i in range(6)], F.max(F.col("_other").isNotNull()).alias("_last6")
+    )
+    choice = F.when(F.col("_n0") >= WANTED, 0)
+    for i in range(1, 5):
+        choice = choice.when(F.col(f"_n{i}") >= WANTED, i)
+    chosen = counts.select("subject_id", choice.otherwise(F.when(F.col("_last6"), 5).otherwise(4)).alias("_step"))
+    kept = flags.join(chosen, "subject_id").where(F.element_at("steps", F.col("_step") + 1))
+    w = Window.partitionBy("subject_id").orderBy(F.round("score", 9), "mls_number")
+    scored = kept.withColumn("score", sale_score())
+    return (
+        scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        .withColumn("step", F.col("_step") + 1)
+        .drop("steps", "_c", "_v", "_step", "own", "adjacent", "_has_own", "_has_adj", "_other")
+    )
+
+
+def sale_score() -> Column:
+    """Dissimilarity of a sale: distance, area, year, beds, baths, value, recency."""
+    s, c = F.col, F.col
+    half = F.lit(0.5)
+
+    def term(x: Column) -> Column:
+        return F.coalesce(F.when(x.isNotNull(), F.least(x, F.lit(1.0))), half)
+
+    area = F.when((s("s_area") > 0) & (c("floor_area") > 0), F.abs(s("s_area") - c("floor_area")) / F.greatest(s("s_area"), c("floor_area")))
+    value = F.when((s("s_value") > 0) & (c("c_value") > 0), F.abs(F.log(s("s_value") / c("c_value"))) / LN2)
+    return (
+        0.30 * F.least(F.lit(1.0), 1.0 - F.pow(F.lit(2.0), -F.col("dist_m") / 1_000.0))
+        + 0.25 * term(area)
+        + 0.15 * term(F.abs(s("s_year") - c("c_year")) / 30.0)
+        + 0.10 * term(F.abs(s("s_beds") - c("c_beds")) / 3.0)
+        + 0.05 * term(F.abs(s("s_baths") - c("c_baths")) / 2.0)
+        + 0.10 * term(value)
+        + 0.05 * term(F.col("days_ago") / 60.0)
+    )
+
+
+def adjust_sales(sales: DataFrame, as_of_year: int) -> DataFrame:
+    """Sold prices moved toward the subject: age, then size, then bedrooms; steps as an array."""
+    price = F.col("sold_price").cast("double")
+    zero = F.lit(0.0)
+    years = F.col("s_year") - F.col("c_year")
+    age_pct = F.coalesce(F.when(years.isNotNull(), F.least(F.greatest(years * 0.005, F.lit(-0.15)), F.lit(0.15))), zero)
+    attached = F.col("s_type").isin(K.CONDO, K.TOWNHOME)
+    c_age = as_of_year - F.col("c_year")
+    building = (
+        F.when(attached, 0.70).when(c_age <= 5, 0.45).when(c_age <= 15, 0.35).when(c_age <= 25, 0.25).otherwise(0.15)
+    )
+    cap = price * F.when(attached, 0.25).otherwise(0.15)
+    gap = F.col("s_area") - F.col("floor_area")
+    usable = (F.col("s_area") > 0) & (F.col("floor_area") > 0) & (F.abs(gap) > 10)
+    size = F.when(usable, F.least(F.greatest(price * building / F.col("floor_area") * gap, -cap), cap)).otherwise(zero)
+    beds = F.coalesce((F.col("s_beds") - F.col("c_beds")) * F.when(F.col("s_type") == K.CONDO, 25_000.0).otherwise(50_000.0), zero)
+    steps = F.array_compact(
+        F.array(
+            *[
+                F.when(amount != 0, F.struct(F.lit(name).alias("name"), amount.alias("dollar")))
+                for name, amount in (("Age", price * age_pct), ("Size", size), ("Bedrooms", beds))
+            ]
+        )
+    )
+    return sales.withColumns({"adjusted_price": price + price * age_pct + size + beds, "adjustments": steps})
+
+
+def sale_report(adjusted: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Range, market figures and a recommendation per subject; groups hold at most k sales."""
+    p = F.col("adjusted_price")
+    sar = F.col("sold_price") / F.when(F.col("c_value") > 0, F.col("c_value"))
+    asked = F.col("sold_price") / F.when(F.col("list_price") > 0, F.col("list_price"))
+    stats = adjusted.groupBy("subject_id").agg(
+        F.count(F.lit(1)).alias("comparable_count"),
+        F.percentile(p, F.lit(0.25)).cast("long").alias("cma_low"), F.median(p).cast("long").alias("cma_median"),
+        F.percentile(p, F.lit(0.75)).cast("long").alias("cma_high"), F.avg(p).cast("long").alias("cma_mean"),
+        F.median("sold_price").cast("long").alias("median_sold_price"), F.avg(sar).alias("avg_ratio"), F.avg(asked).alias("avg_list_to_sold"),
+        F.avg("dom").alias("avg_dom"), F.avg("dist_m").alias("avg_distance_m"),
+    )
+    out = stats.join(estimates.select("subject_id", "market_estimate"), "subject_id", "left")
+    cma, est, n = F.col("cma_median").cast("double"), F.col("market_estimate"), F.col("comparable_count")
+    both = est > 0
+    blended = F.when(both & (n >= 5), 0.60 * cma + 0.40 * est).when(both, 0.40 * cma + 0.60 * est).otherwise(cma)
+    spread = F.when(both, F.abs(cma - est) / F.greatest(cma, est) * 100)
+    base = F.when(n >= 7, "high").when(n >= 4, "moderate").otherwise("low")
+    level = F.when(spread > 15, "low").when((spread > 8) & (base == "high"), "moderate").otherwise(base)
+    pct = F.when(F.col("confidence") == "high", 0.05).when(F.col("confidence") == "moderate", 0.08).otherwise(0.10)
+    return (
+        out.withColumns({"_b": blended, "confidence": level})
+        .withColumns(
+            {
+                "recommended": F.col("_b").cast("long"), "recommended_low": (F.col("_b") * (1 - pct)).cast("long"),
+                "recommended_high": (F.col("_b") * (1 + pct)).cast("long"),
+            }
+        )
+        .drop("_b")
+    )

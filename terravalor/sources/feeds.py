@@ -41,3 +41,19 @@ def filter_permits(
     if minimum is not None:
         out = out.where(F.col("project_value") >= minimum)
     return out
+
+
+# Names under which sources carry coordinates.
+LATITUDES = ("latitude", "lat", "y", "stop_lat")
+LONGITUDES = ("longitude", "lon", "lng", "long", "x", "stop_lon")
+
+
+def with_point(df: DataFrame) -> DataFrame:
+    """``point`` struct from whichever coordinate pair exists; null unless both are there."""
+    lat, lon = first_present(df.columns, list(LATITUDES)), first_present(df.columns, list(LONGITUDES))
+    if not lat or not lon:
+        return df.withColumn("point", F.lit(None).cast("struct<lat: double, lon: double>"))
+    both = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    return df.withColumn(
+        "point", F.when(both, F.struct(F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")))
+    )
