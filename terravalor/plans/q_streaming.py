@@ -20,10 +20,8 @@ def _drops(t):
 
 @query("z01_z02_listing_upserts", "SELECT mls_number, sold_price, sold_date, f AS first_seen_date FROM (SELECT * FROM o_sold) s JOIN (SELECT mls_number, min(first_seen_date) AS f FROM px_sold GROUP BY 1) m USING (mls_number)")
 def z02(t):
-    root = landing_path(t.spark, "store")
-    stream = _drops(t)
-    last = jobs.upsert_stream(t.spark, stream, root, landing_path(t.spark, "store-state"))
-    return jobs.ListingStore(t.spark, root, stream.schema).latest(last).select("mls_number", "sold_price", "sold_date", "first_seen_date")
+    store = jobs.upsert_stream(t.spark, _drops(t), landing_path(t.spark, "store"), landing_path(t.spark, "store-state"))
+    return store.latest().select("mls_number", "sold_price", "sold_date", "first_seen_date")
 
 
 @query("z03_new_articles", "SELECT DISTINCT url FROM px_news")

@@ -67,8 +67,9 @@ class Tables:
     @cached_property
     def sold(self) -> DataFrame:
         from terravalor.operators import ingest
+        from terravalor.session import materialize
 
-        return ingest.latest_listings(self("px_sold")).where(F.col("sold_price") > 0)
+        return materialize(ingest.latest_listings(self("px_sold").where(F.col("sold_price") > 0)))
 
     @cached_property
     def matched(self) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from terravalor.operators import ingest
 from terravalor.session import landing_path
@@ -26,43 +27,49 @@ def run_to_end(stream, checkpoint: str, mode: str = "append") -> None:
 
 
 class ListingStore:
-    """Listing table kept as versioned folders: each batch writes a new version, then points to it.
+    """Listing table as a log of batches that reads resolve, with compaction.
 
-    A batch that is replayed writes the same version again from the same base,
-    so losing an executor or the driver mid-batch changes nothing.
+    A batch writes only its own newest rows, so its cost follows the batch and
+    not the table. The folder is named by the batch, so a replayed batch writes
+    the same rows to the same place. Reads keep the latest batch per listing and
+    the earliest first-seen date; ``compact`` folds the log into one snapshot.
     """
 
     def __init__(self, spark: SparkSession, root: str, schema) -> None:
-        self.spark, self.root, self.schema = spark, root, schema
-
-    def version(self, n: int) -> DataFrame:
-        if n < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.parquet(f"{self.root}/v={n}")
+        self.spark, self.root = spark, root
+        self.stored = StructType([*schema.fields, StructField("batch", LongType())])
 
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        merged = ingest.upsert_listings(self.version(batch_id - 1), batch)
-        merged.write.mode("overwrite").parquet(f"{self.root}/v={batch_id}")
+        newest = ingest.upsert_listings(batch.limit(0), batch)
+        newest.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
+
+    def latest(self) -> DataFrame:
+        log = self.spark.read.schema(self.stored).parquet(self.root)
+        seen = log.groupBy("mls_number").agg(F.min("first_seen_date").alias("_seen"))
+        newest = ingest.latest_by_key(log, ["mls_number"], [F.col("batch").desc()])
+        return newest.join(seen, "mls_number").withColumn("first_seen_date", F.col("_seen")).drop("_seen", "batch")
 
-    def latest(self, last_batch: int) -> DataFrame:
-        return self.version(last_batch)
+    def compact(self, target: str) -> ListingStore:
+        """A new store whose log is one snapshot; later batches go on from there."""
+        self.latest().write.mode("overwrite").parquet(f"{target}/batch=-1")
+        done = ListingStore.__new__(ListingStore)
+        done.spark, done.root, done.stored = self.spark, target, self.stored
+        return done
 
 
-def upsert_stream(spark: SparkSession, drops: DataFrame, root: str, checkpoint: str, on_new: Callable[[int, int], None] | None = None) -> int:
-    """Merge every batch of listings; ``on_new(batch_id, rows)`` fires when rows arrived. Returns the last batch."""
+def upsert_stream(spark: SparkSession, drops: DataFrame, root: str, checkpoint: str, on_new: Callable[[int, int], None] | None = None) -> ListingStore:
+    """Merge every batch of listings; ``on_new(batch_id, rows)`` fires when rows arrived."""
     store = ListingStore(spark, root, drops.schema)
-    last = [-1]
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         store.upsert(batch, batch_id)
-        last[0] = batch_id
         if on_new is not None:
             rows = batch.count()
             if rows:
                 on_new(batch_id, rows)
 
     run_to_end(drops.writeStream.foreachBatch(merge), checkpoint, "update")
-    return last[0]
+    return store
 
 
 def first_articles(articles: DataFrame, delay: str = "30 days") -> DataFrame:
