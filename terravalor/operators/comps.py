@@ -66,19 +66,28 @@ def zone_category(prefix: Column) -> Column:
     return out.otherwise("other")
 
 
-def zoning_distance(a: Column, b: Column) -> Column:
+def zone_parts(zone: Column) -> Column:
+    """struct<code, prefix, category>, computed once per row and not once per pair."""
+    code = F.nullif(F.upper(F.trim(zone)), F.lit(""))
+    prefix = zone_prefix(zone)
+    return F.when(code.isNotNull(), F.struct(code.alias("code"), prefix.alias("prefix"), zone_category(prefix).alias("category")))
+
+
+def zone_distance(a: Column, b: Column) -> Column:
     """0 equal, 0.3 same prefix, 0.5 same category or missing, else 1."""
-    pa, pb = zone_prefix(a), zone_prefix(b)
-    missing = F.coalesce(a, F.lit("")).eqNullSafe("") | F.coalesce(b, F.lit("")).eqNullSafe("")
     return (
-        F.when(missing, 0.5)
-        .when(F.upper(F.trim(a)) == F.upper(F.trim(b)), 0.0)
-        .when((pa == pb) & (pa != ""), 0.3)
-        .when(zone_category(pa) == zone_category(pb), 0.5)
+        F.when(a.isNull() | b.isNull(), 0.5)
+        .when(a["code"] == b["code"], 0.0)
+        .when((a["prefix"] == b["prefix"]) & (a["prefix"] != ""), 0.3)
+        .when(a["category"] == b["category"], 0.5)
         .otherwise(1.0)
     )
 
 
+def zoning_distance(a: Column, b: Column) -> Column:
+    return zone_distance(zone_parts(a), zone_parts(b))
+
+
 def _one(x: Column) -> Column:
     return F.least(x, F.lit(1.0))
 
@@ -92,7 +101,7 @@ def similarity_terms(weights: dict[str, float], as_of: str | None = None) -> dic
         "proximity": lambda: F.least(F.lit(1.0), 1.0 - F.pow(F.lit(2.0), -F.col("dist_m") / 1_000.0)),
         "value_similarity": lambda: _one(F.abs(F.log(F.greatest(s("value"), F.lit(1.0)) / F.greatest(c("value"), F.lit(1.0)))) / LN2),
         "year_built": lambda: F.coalesce(_one_or_null(F.abs(s("year_built") - c("year_built")) / 50.0), half),
-        "zoning_match": lambda: zoning_distance(s("zone"), c("zone")),
+        "zoning_match": lambda: zone_distance(s("zone"), c("zone")),
         "recency": lambda: F.coalesce(F.when(months.isNotNull(), F.least(F.greatest(months / 24.0, F.lit(0.0)), F.lit(1.0))), half),
         "living_area": lambda: F.coalesce(_one_or_null(F.abs(s("area") - c("area")) / F.greatest(s("area"), c("area"))), half),
         "bedroom_match": lambda: F.coalesce(_one_or_null(F.abs(s("bedrooms") - c("bedrooms")) / 3.0), half),
@@ -118,8 +127,8 @@ def add_similarity(pairs: DataFrame, weights: dict[str, float] | None = None, as
 
 # ---- comparable properties: exact search without all pairs -----------------------------------
 
-NEAR_M, FAR_M, SEED_M, FINE_M = 2_000.0, 5_000.0, 650.0, 250.0
-VALUE_STEP = 0.1
+NEAR_M, FAR_M, SEED_M, FINE_M = 2_000.0, 5_000.0, 650.0, 500.0
+VALUE_STEP = 0.2
 SCORE_SLACK = 1e-9
 PROFILE = ("lat", "lon", "value", "year_built", "zone", "property_type")
 
@@ -145,7 +154,7 @@ def _profiles(props: DataFrame, k: int) -> DataFrame:
 def _as_candidates(profiles: DataFrame) -> DataFrame:
     return profiles.select(
         F.col("pid").alias("c_pid"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), F.col("value").alias("c_value"),
-        F.col("year_built").alias("c_year_built"), F.col("zone").alias("c_zone"), F.col("property_type").alias("c_type"), "weight",
+        F.col("year_built").alias("c_year_built"), zone_parts(F.col("zone")).alias("c_zone"), F.col("property_type").alias("c_type"), "weight",
     )
 
 
@@ -153,7 +162,7 @@ def _as_subjects(subjects: DataFrame) -> DataFrame:
     return subjects.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
         F.col("pid").alias("s_pid"), F.col("latitude").alias("s_lat"), F.col("longitude").alias("s_lon"),
         F.col("total_assessed_value").alias("s_value"), F.col("year_built").alias("s_year_built"),
-        F.col("zoning_district").alias("s_zone"), F.col("property_type").alias("s_type"),
+        zone_parts(F.col("zoning_district")).alias("s_zone"), F.col("property_type").alias("s_type"),
     )
 
 
@@ -178,8 +187,8 @@ def comparable_properties(subjects: DataFrame, props: DataFrame, k: int = 5) ->
     type is sparse and take the plain widening search. Both paths are exact.
     """
     weights = K.ASSESSMENT_WEIGHTS
-    profiles = materialize(_profiles(props, k))
-    cand, subj = _as_candidates(profiles), materialize(_as_subjects(subjects))
+    cand = materialize(_as_candidates(_profiles(props, k)))
+    subj = materialize(_as_subjects(subjects))
 
     # Seeds: k + 1 per (type, cell, value step) and per (type, cell).
     cell = geo.cell_sql("c_lat", "c_lon", SEED_M)
@@ -212,7 +221,7 @@ def comparable_properties(subjects: DataFrame, props: DataFrame, k: int = 5) ->
     )
     fine = geo.cell_sql("c_lat", "c_lon", FINE_M)
     fine_cand = cand.selectExpr("*", "c_type AS _type", f"{fine} AS _c", f"explode(array({_value_step('c_value')}, -999L)) AS _v")
-    sizes = (250.0, 500.0, 1_000.0, 2_000.0)
+    sizes = (250.0, 500.0, 750.0, 1_000.0, 1_500.0, 2_000.0)
     rings = "CASE " + " ".join(
         f"WHEN _reach <= {r!r}D THEN {geo.cells_of_box_sql('s_lat', 's_lon', r, FINE_M)}" for r in sizes
     ) + f" ELSE {geo.cells_of_box_sql('s_lat', 's_lon', NEAR_M + 1.0, FINE_M)} END"

@@ -50,21 +50,23 @@ def landing_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage with a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write once to the shared folder and read back: the lineage ends here.
+
+    A Parquet table survives the loss of executors, is read column by column,
+    and carries its true size, which the planner needs to choose a join.
+    """
+    path = landing_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Materialize a summary and broadcast it only if its counted size allows.
+def small_side(df: DataFrame) -> DataFrame:
+    """A summary to be joined back onto its source.
 
-    Beyond ``max_rows`` the frame is returned without a hint, so the join is
-    planned as a shuffle join and AQE splits its skewed partitions.
+    No broadcast hint: the written table's size is known, so Spark broadcasts it
+    below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it above.
     """
-    done = materialize(df)
-    if done.count() <= max_rows:
-        return F.broadcast(done)
-    return done
+    return materialize(df)
 
 
 def fixed_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
