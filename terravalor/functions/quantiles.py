@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from terravalor.session import small_side
 
-SKETCH_ACCURACY = 10_000
-# Groups up to this size are ranked whole: the sketch's bracket would save nothing.
-WHOLE_GROUP_ROWS = 50_000
+SKETCH_ACCURACY = 5_000
+# The bracket is four sketch errors wide. It is safe once a group is large enough
+# for one rank to be small against it; smaller groups are ranked whole.
 MARGIN = 4.0 / SKETCH_ACCURACY
+WHOLE_GROUP_ROWS = 5_000
 
 UPPER_MEDIAN = "upper_median"
 
@@ -32,25 +33,6 @@ def _target_ranks(p: float | str, n: Column) -> tuple[Column, Column, Column]:
     return lower, F.ceil(r), r - lower
 
 
-def _with_literals(base: DataFrame, row) -> DataFrame:
-    if not row["_n"]:
-        return base.select("*", F.lit(0).cast("long").alias("_n")).where(F.lit(False)).withColumn(
-            "_wanted", F.expr("array(struct(0 AS i, 0D AS low, 0D AS high, 0L AS k0, 0L AS k1, 0D AS w))")
-        )
-    items = [
-        F.struct(
-            F.lit(q["i"]).alias("i"),
-            F.lit(q["low"]).alias("low"),
-            F.lit(q["high"]).alias("high"),
-            F.lit(q["k0"]).cast("long").alias("k0"),
-            F.lit(q["k1"]).cast("long").alias("k1"),
-            F.lit(q["w"]).cast("double").alias("w"),
-        )
-        for q in row["_wanted"]
-    ]
-    return base.withColumn("_n", F.lit(row["_n"]).cast("long")).withColumn("_wanted", F.array(*items))
-
-
 def exact_percentiles(
     df: DataFrame,
     keys: list[str],
@@ -70,53 +52,41 @@ def exact_percentiles(
     base = df.where(present).select(*keys, F.col(value).cast("double").alias("_v"))
 
     names = list(probs)
-    cuts = []
-    for name in names:
-        p = 0.5 if probs[name] == UPPER_MEDIAN else float(probs[name])
-        cuts += [max(0.0, p - MARGIN), min(1.0, p + MARGIN)]
-    brackets = base.groupBy(*keys).agg(
+    numbers = [0.5 if probs[name] == UPPER_MEDIAN else float(probs[name]) for name in names]
+    cuts = [c for p in numbers for c in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    sketch = base.groupBy(*keys).agg(
         F.count("_v").alias("_n"),
         F.min("_v").alias("_lo"),
         F.max("_v").alias("_hi"),
         F.percentile_approx("_v", cuts, SKETCH_ACCURACY).alias("_cuts"),
     )
-    whole = F.col("_n") <= whole_group_rows
-    wanted = []
-    for i, name in enumerate(names):
-        p = probs[name]
-        number = 0.5 if p == UPPER_MEDIAN else float(p)
-        lower, upper, weight = _target_ranks(p, F.col("_n"))
-        low = F.lit(None) if number - MARGIN <= 0 else F.when(~whole, F.col("_cuts")[2 * i])
-        high = F.lit(None) if number + MARGIN >= 1 else F.when(~whole, F.col("_cuts")[2 * i + 1])
-        wanted.append(
-            F.struct(
-                F.lit(i).alias("i"),
-                F.coalesce(low, F.col("_lo")).alias("low"),
-                F.coalesce(high, F.col("_hi")).alias("high"),
-                lower.cast("long").alias("k0"),
-                upper.cast("long").alias("k1"),
-                weight.cast("double").alias("w"),
-            )
-        )
-    plan = small_side(brackets.select(*keys, "_n", F.array(*wanted).alias("_wanted")))
+
+    # One bracket per probability; a small group has a single bracket for all (-1).
+    def bracket(i: int, p: float) -> Column:
+        low = F.col("_lo") if p - MARGIN <= 0 else F.col("_cuts")[2 * i]
+        high = F.col("_hi") if p + MARGIN >= 1 else F.col("_cuts")[2 * i + 1]
+        return F.struct(F.lit(i).alias("i"), low.alias("low"), high.alias("high"))
+
+    whole = F.array(F.struct(F.lit(-1).alias("i"), F.col("_lo").alias("low"), F.col("_hi").alias("high")))
+    each = F.array(*[bracket(i, p) for i, p in enumerate(numbers)])
+    plan = small_side(
+        sketch.select(*keys, "_n", F.when(F.col("_n") <= whole_group_rows, whole).otherwise(each).alias("_brackets"))
+    )
     if keys:
         joined = base.join(plan, keys)
     else:  # one summary row: its numbers become literals of the second pass
         joined = _with_literals(base, plan.first())
-    rows = joined.select(*keys, "_n", "_v", F.explode("_wanted").alias("_q")).where(
+
+    rows = joined.select(*keys, "_n", "_v", F.explode("_brackets").alias("_q")).where(
         F.col("_v") <= F.col("_q.high")
     )
+    # Rows below a bracket melt into one counted row before the shuffle.
     counted = rows.groupBy(
         *keys,
+        "_n",
         F.col("_q.i").alias("_i"),
         F.when(F.col("_v") >= F.col("_q.low"), F.col("_v")).alias("_v"),
-    ).agg(
-        F.count(F.lit(1)).alias("_c"),
-        F.first("_n").alias("_n"),
-        F.first("_q.k0").alias("_k0"),
-        F.first("_q.k1").alias("_k1"),
-        F.first("_q.w").alias("_w"),
-    )
+    ).agg(F.count(F.lit(1)).alias("_c"))
     order = (
         Window.partitionBy(*keys, "_i")
         .orderBy(F.col("_v").asc_nulls_first())
@@ -125,23 +95,34 @@ def exact_percentiles(
     ranked = counted.withColumn("_end", F.sum("_c").over(order)).withColumn(
         "_start", F.col("_end") - F.col("_c")
     )
+    picked = []
+    for i, name in enumerate(names):
+        lower, upper, weight = _target_ranks(probs[name], F.col("_n"))
+        mine = F.col("_i").isin(i, -1)
+        for tag, rank in (("a", lower), ("b", upper)):
+            here = mine & (F.col("_start") <= rank) & (rank < F.col("_end"))
+            picked.append(F.max(F.when(here, F.col("_v"))).alias(f"_{tag}{i}"))
+        picked.append(F.max(weight).alias(f"_w{i}"))
+    summary = ranked.groupBy(*keys).agg(F.max("_n").alias("n"), *picked)
+    return summary.select(
+        *keys,
+        *[
+            (F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_w{i}")).alias(name)
+            for i, name in enumerate(names)
+        ],
+        "n",
+    )
 
-    def at(rank: str) -> Column:
-        return F.max(
-            F.when((F.col("_start") <= F.col(rank)) & (F.col(rank) < F.col("_end")), F.col("_v"))
-        )
 
-    picked = ranked.groupBy(*keys, "_i").agg(
-        at("_k0").alias("_a"),
-        at("_k1").alias("_b"),
-        F.first("_w").alias("_w"),
-        F.first("_n").alias("_n"),
-    )
-    result = picked.withColumn("_x", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w"))
-    return result.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("_x"))).alias(name) for i, name in enumerate(names)],
-        F.max("_n").alias("n"),
-    )
+def _with_literals(base: DataFrame, row) -> DataFrame:
+    brackets = row["_brackets"] if row["_n"] else []
+    items = [
+        F.struct(F.lit(q["i"]).alias("i"), F.lit(q["low"]).alias("low"), F.lit(q["high"]).alias("high"))
+        for q in brackets
+    ]
+    if not items:
+        items = [F.struct(F.lit(-1).alias("i"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"))]
+    return base.withColumns({"_n": F.lit(row["_n"] or 0).cast("long"), "_brackets": F.array(*items)})
 
 
 def medians(df: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:

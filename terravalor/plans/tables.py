@@ -53,8 +53,9 @@ class Tables:
     @cached_property
     def universe(self) -> DataFrame:
         from terravalor.operators import universe
+        from terravalor.session import materialize
 
-        return universe.build_universe(self("px_tax_roll"), self("px_parcels"))
+        return materialize(universe.build_universe(self("px_tax_roll"), self("px_parcels")))
 
     @cached_property
     def properties(self) -> DataFrame:
