@@ -143,12 +143,17 @@ def _profiles(props: DataFrame, k: int) -> DataFrame:
         "pid", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"),
         F.col("total_assessed_value").alias("value"), "year_built", F.col("zoning_district").alias("zone"), "property_type",
     )
-    w = Window.partitionBy(*PROFILE).orderBy("pid")
-    kept = base.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k + 1)
-    counts = base.groupBy(*PROFILE).agg(F.count(F.lit(1)).alias("_n"))
-    same = [kept[c].eqNullSafe(counts[c]) for c in PROFILE]
-    weight = F.when(F.col("_rn") == k + 1, F.col("_n") - k).otherwise(F.lit(1))
-    return kept.join(counts, same).select("pid", *[kept[c] for c in PROFILE], weight.alias("weight"))
+    return collapse(base, PROFILE, "pid", k + 1)
+
+
+def collapse(rows: DataFrame, profile: tuple[str, ...], order: str, keep: int) -> DataFrame:
+    """At most ``keep`` rows per profile, with a ``weight`` that sums to the profile's true count."""
+    w = Window.partitionBy(*profile).orderBy(order)
+    kept = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep)
+    counts = rows.groupBy(*profile).agg(F.count(F.lit(1)).alias("_n"))
+    same = [kept[c].eqNullSafe(counts[c]) for c in profile]
+    weight = F.when(F.col("_rn") == keep, F.col("_n") - (keep - 1)).otherwise(F.lit(1))
+    return kept.join(counts, same).select(*[kept[c] for c in rows.columns], weight.alias("weight"))
 
 
 def _as_candidates(profiles: DataFrame) -> DataFrame:
@@ -315,6 +320,7 @@ def blend_with_comparables(estimate: Column, median: Column, count: Column) -> C
 # ---- comparable sales (market analysis per request) --------------------------------------------
 
 SALE_RADIUS_M, SALE_BAND, SALE_DAYS, WANTED = 2_000.0, 0.10, 365, 3
+SALE_PROFILE = ("c_type", "c_lat", "c_lon", "c_value", "sub_area", "days_ago", "floor_area", "c_year", "c_beds", "c_baths")
 
 
 def sale_candidates(sales: DataFrame, as_of: str) -> DataFrame:
@@ -341,9 +347,10 @@ def comparable_sales(
     s_year, s_beds, s_baths. ``areas``: (neighbourhood_code, sub_area, own).
     Steps relax time and sub-area only: own 60 d, own 120 d, adjacent 120 d,
     adjacent 180 d, any 365 d, then a fallback type. Each step is a flag on one
-    candidate row, so the join is made once.
+    candidate row, so the join is made once. Sales alike in everything that is
+    scored collapse to k rows and a weight.
     """
-    cand = sale_candidates(sales, as_of)
+    cand = materialize(collapse(sale_candidates(sales, as_of), SALE_PROFILE, "mls_number", k))
     # ln of the value band is at most 0.1054 on one side, so a step of 0.11 needs one neighbour.
     step = "CAST(floor(ln(greatest({0}, 1D)) / 0.11D) AS BIGINT)"
     fallback = F.lit(None).cast("string")
@@ -379,7 +386,7 @@ def comparable_sales(
     ]
     flags = flagged.withColumn("steps", F.array(*steps))
     counts = flags.groupBy("subject_id").agg(
-        *[F.count_if(F.col("steps")[i]).alias(f"_n{i}") for i in range(6)], F.max(F.col("_other").isNotNull()).alias("_last6")
+        *[F.coalesce(F.sum(F.when(F.col("steps")[i], F.col("weight"))), F.lit(0)).alias(f"_n{i}") for i in range(6)], F.max(F.col("_other").isNotNull()).alias("_last6")
     )
     choice = F.when(F.col("_n0") >= WANTED, 0)
     for i in range(1, 5):
@@ -391,7 +398,7 @@ def comparable_sales(
     return (
         scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         .withColumn("step", F.col("_step") + 1)
-        .drop("steps", "_c", "_v", "_step", "own", "adjacent", "_has_own", "_has_adj", "_other")
+        .drop("steps", "_c", "_v", "_step", "own", "adjacent", "_has_own", "_has_adj", "_other", "weight")
     )
 
 

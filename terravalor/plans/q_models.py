@@ -221,14 +221,14 @@ def m12(t):
 
 @query("m16_a28_batch_run")
 def m16(t):
-    from terravalor.plans.pipeline import batch_run
+    from terravalor.plans.runs import batch_run
 
     return batch_run(t).drop("seconds")
 
 
 @query("m17_daily_run")
 def m17(t):
-    from terravalor.plans.pipeline import daily_run
+    from terravalor.plans.runs import daily_run
 
     return daily_run(t, "2000-06-15").drop("seconds")
 

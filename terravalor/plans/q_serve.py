@@ -209,7 +209,7 @@ def j20(t):
 @query("q07_full_valuation")
 def q07(t):
     """Request → subject → ratio estimate → rules → comparables → blend → interval → grade."""
-    from terravalor.plans.pipeline import value_requests
+    from terravalor.plans.runs import value_requests
 
     return rounded(value_requests(t), 2)
 

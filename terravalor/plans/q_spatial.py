@@ -206,11 +206,11 @@ HS = hav("p.lat", "p.lon", "s.lat", "s.lon")
 
 @query(
     "g14_transit_features",
-    f"""SELECT p.lat, p.lon, round(min({HS}), 3) AS dist_nearest_transit_m,
-          round(min(CASE WHEN s.stop_name LIKE 'Station%' THEN {HS} END), 3) AS dist_nearest_rail_m,
+    f"""SELECT p.lat, p.lon, round(min(CASE WHEN {HS} <= 10000 THEN {HS} END), 3) AS dist_nearest_transit_m,
+          round(min(CASE WHEN s.stop_name LIKE 'Station%' AND {HS} <= 10000 THEN {HS} END), 3) AS dist_nearest_rail_m,
           count(*) FILTER ({HS} <= 400) AS transit_stops_400m, count(*) FILTER ({HS} <= 800) AS transit_stops_800m,
           coalesce(bool_or(s.stop_name LIKE 'Station%' AND {HS} <= 800), false) AS has_rail_800m
-        FROM o_pts p, px_stops s WHERE {HS} <= 10000 GROUP BY 1, 2""",
+        FROM o_pts p, px_stops s GROUP BY 1, 2""",
 )
 def g14(t):
     out = spatial.transit_features(t.locations, t("px_stops"))
@@ -219,7 +219,7 @@ def g14(t):
 
 @query(
     "g15_school_features",
-    f"""WITH x AS (SELECT p.lat, p.lon, l.poi_id, l.school_type, l.school_score, {H} AS d FROM o_pts p, px_poi l WHERE l.kind = 'school' AND {H} <= 10000)
+    f"""WITH x AS (SELECT p.lat, p.lon, l.poi_id, l.school_type, l.school_score, {H} AS d FROM o_pts p LEFT JOIN px_poi l ON l.kind = 'school' AND {H} <= 10000)
         SELECT lat, lon, round(min(d), 3) AS dist_nearest_school_m, (arg_min({{'s': school_score}}, d)).s AS nearest_school_score,
           round(min(d) FILTER (school_type IN ('Elementary', 'K-12')), 3) AS dist_nearest_elementary_m,
           round(min(d) FILTER (school_type IN ('Secondary', 'K-12')), 3) AS dist_nearest_secondary_m,

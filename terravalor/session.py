@@ -46,7 +46,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def landing_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one for files a job writes and reads back."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(session_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def session_dir(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), f"terravalor-{spark.sparkContext.applicationId}")
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table this session wrote; call it when its results are stored elsewhere."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -239,3 +239,24 @@ def test_late_rows(spark):
     run()
     got = {str(r.day)[:10]: r.n for r in spark.read.parquet(out).collect()}
     assert got["2024-01-01"] == 1 and got["2024-01-09"] == 1 and got["2024-01-10"] == 1
+
+
+def test_sale_steps_count_collapsed_copies(spark):
+    """Many equal sales collapse, yet steps still see their true number and the best k are whole."""
+    from pyspark.sql import types as T
+
+    cols = "mls_number string, sold_price long, list_price long, sold_date date, dom int, sub_area string, property_type string, floor_area int, year_built int, bedrooms int, bathrooms int, latitude double, longitude double, assessed_value double"
+    import datetime as dt
+
+    def sale(i, day, area="1"):
+        return (f"R{i:04d}", 500_000, 510_000, dt.date(2001, 9, day), 5, area, "Apartment/Condo", 900, 1990, 2, 1, 49.25, -123.1, 500_000.0)
+
+    sales = spark.createDataFrame([sale(i, 20) for i in range(60)] + [sale(100, 25)], cols)
+    subject = spark.createDataFrame(
+        [("s", "5", "condo", 500_000.0, 49.25, -123.1, 900.0, 1990, 2, 1)],
+        "subject_id string, neighbourhood_code string, s_type string, s_value double, s_lat double, s_lon double, s_area double, s_year int, s_beds int, s_baths int",
+    )
+    areas = spark.createDataFrame([("5", "1", True)], "neighbourhood_code string, sub_area string, own boolean")
+    out = comps.comparable_sales(subject, sales, areas, "2001-10-01", k=10).orderBy("rank").collect()
+    assert [r.mls_number for r in out] == ["R0100"] + [f"R{i:04d}" for i in range(9)]
+    assert {r.step for r in out} == {1} and isinstance(out[0].dist_m, float) and T is not None
