@@ -217,22 +217,26 @@ def freshness(table: DataFrame, day: str, as_of: str) -> DataFrame:
 
 
 def segment_fallback(rows: DataFrame, segments: DataFrame, columns: list[str]) -> DataFrame:
-    """Segment columns by (area, type), else citywide type, else citywide all: three equi-joins."""
+    """Segment columns by (area, type), else citywide type, else citywide all.
+
+    Two equi-joins; the one citywide segment comes in as a scalar.
+    """
     keys = {
         "a": F.concat_ws("__", "neighbourhood_code", "property_type"),
         "t": F.concat_ws("__", F.lit("citywide"), "property_type"),
-        "c": F.lit("citywide__all"),
     }
     out = rows
     for tag, key in keys.items():
         side = segments.select(F.col("segment").alias(f"_k{tag}"), *[F.col(c).alias(f"_{tag}_{c}") for c in columns])
         out = out.withColumn(f"_q{tag}", key).join(side, F.col(f"_q{tag}") == F.col(f"_k{tag}"), "left")
-    chosen = F.coalesce("_ka", "_kt", "_kc")
+    last = segments.where(F.col("segment") == "citywide__all").agg(F.first(F.struct("segment", *columns)).alias("s"))
+    out = out.withColumn("_city", last.scalar())
+    in_a, in_t = F.col("_ka").isNotNull(), F.col("_kt").isNotNull()
     picked = {
-        c: F.when(F.col("_ka").isNotNull(), F.col(f"_a_{c}")).when(F.col("_kt").isNotNull(), F.col(f"_t_{c}")).otherwise(F.col(f"_c_{c}"))
-        for c in columns
+        c: F.when(in_a, F.col(f"_a_{c}")).when(in_t, F.col(f"_t_{c}")).otherwise(F.col(f"_city.{c}")) for c in columns
     }
-    return out.withColumns({**picked, "segment_used": chosen}).select(*rows.columns, *columns, "segment_used")
+    picked["segment_used"] = F.coalesce("_ka", "_kt", F.col("_city.segment"))
+    return out.withColumns(picked).select(*rows.columns, *columns, "segment_used")
 
 
 def nearest_segment(wanted: DataFrame, available: DataFrame) -> DataFrame:
