@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terravalor.llm import quality
+from terravalor.llm import line_dedup, quality
 from terravalor.llm.queries import query, table
 
 _IN = ", ".join(f"'{w}'" for w in quality.VOCABULARY)
@@ -59,3 +59,22 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = quality.judge(docs, keep_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+LINES_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, source FROM documents),
+l AS (SELECT r, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+k AS (SELECT *, nullif(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '') AS c FROM l),
+p AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
+b AS (SELECT k.source, c FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source WHERE c IS NOT NULL
+  GROUP BY k.source, c HAVING count(DISTINCT r) >= {line_dedup.MIN_PAGES} AND count(DISTINCT r) > {line_dedup.MAX_RATIO} * max(pages)),
+j AS (SELECT r, i, line, b.c IS NULL AS kept FROM k LEFT JOIN b ON k.c = b.c AND k.source IS NOT DISTINCT FROM b.source),
+a AS (SELECT r, count(*)::BIGINT AS n_lines, count(*) FILTER (NOT kept)::BIGINT AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (kept), '') AS t FROM j GROUP BY r)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE t END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped FROM d LEFT JOIN a USING (r)
+"""
+
+
+@query("op10_line_dedup", LINES_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.drop_boilerplate(docs).select("doc_id", "text", "n_lines", "n_dropped")
