@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terravalor.llm import line_dedup, quality
+from terravalor.llm import line_dedup, quality, token_counts
 from terravalor.llm.queries import query, table
 
 _IN = ", ".join(f"'{w}'" for w in quality.VOCABULARY)
@@ -78,3 +79,9 @@ SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE t END AS text, coalesce(n_l
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return line_dedup.drop_boilerplate(docs).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
