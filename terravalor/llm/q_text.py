@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terravalor.llm import line_dedup, quality, token_counts
+from terravalor.llm import line_dedup, quality, secret_scan, token_counts
 from terravalor.llm.queries import query, table
 
 _IN = ", ".join(f"'{w}'" for w in quality.VOCABULARY)
@@ -85,3 +85,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op5_secret_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return secret_scan.scan(docs, path="source").select("doc_id", "start", "length", "finding", "score", "is_secret")
