@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terravalor.llm import quality
+from terravalor.llm import jaccard_join, line_dedup, mixing, packing, quality
 from terravalor.session import landing_path
 
 
@@ -13,8 +15,38 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.keep_good(docs)
 
 
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that are frequent in their source; a text with nothing left goes."""
+    cleaned = line_dedup.drop_boilerplate(docs)
+    stay = F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_dropped") == 0)
+    cleaned = cleaned.where(stay)
+    counted = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    cleaned = cleaned.withColumn("n_chars", counted) if counted is not None else cleaned
+    return cleaned.select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return jaccard_join.keep_one(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: each document as often as it is taken."""
+    taken = mixing.mix(docs).where(F.col("copies") > 0)
+    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: a row a piece, with its ids."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 STAGES = [
     ("quality rules", good_documents),
+    ("line dedup", without_boilerplate),
+    ("n-gram jaccard join", one_of_each),
+    ("mixing", mixed),
+    ("packing", packed_sequences),
 ]
 
 #: Chosen paths and retrieval packing cannot be said in SQL; tests hold every stage against brute force.
