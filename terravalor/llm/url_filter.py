@@ -9,20 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terravalor.llm import bloom
 from terravalor.llm.common import packed, unpacked
 
-WORDS = 8  # of 64 bits in a block
-BITS = 8  # set for each URL
-#: Bits of filter for each URL, and the most blocks: 64 bytes each, so 16 MB. A longer list fills
-#: the filter more and lets more pages through to the join; the result is the same.
-BITS_PER_URL = 16
-MAX_BLOCKS = 1 << 18
-
 #: Parameters that do not change the page.
 TRACKING = r"(?:utm_[^=&]*|ref|fbclid|gclid)"
 
@@ -55,28 +48,6 @@ def canonical(url: Column) -> Column:
     return F.when(F.instr(F.coalesce(url, F.lit("")), "://") > 0, whole)
 
 
-def _bits(blocks: int) -> tuple[Column, list[Column]]:
-    """Block and bit numbers of a URL's hash."""
-    h = F.xxhash64("canon")
-    more = F.xxhash64("canon", F.lit(1))
-    return F.pmod(h, F.lit(blocks)).cast("int"), [F.shiftrightunsigned(more, 7 * i).bitwiseAND(F.lit(511)).cast("int") for i in range(BITS)]
-
-
-def build(listed: DataFrame) -> np.ndarray:
-    """The filter of a list (canon): blocks x 8 words. Blocks are put together on the executors, MAX_BLOCKS at most come here."""
-    count = listed.count()
-    blocks = 1
-    while blocks < MAX_BLOCKS and blocks * WORDS * 64 < count * BITS_PER_URL:
-        blocks *= 2
-    block, bits = _bits(blocks)
-    each = listed.select(block.alias("block"), F.explode(F.array(*bits)).alias("bit"))
-    word = [F.bit_or(F.when(F.floor(F.col("bit") / 64) == w, F.expr("shiftleft(1L, bit % 64)")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)]
-    out = np.zeros((blocks, WORDS), dtype=np.int64)
-    for row in each.groupBy("block").agg(*word).toLocalIterator():
-        out[row[0]] = row[1:]
-    return out.view(np.uint64)
-
-
 def listed_pages(pages: DataFrame, blocklist: DataFrame, url: str = "url", listed_url: str = "url", name: str = "listed") -> DataFrame:
     """The pages with ``name``: whether their canonical URL is that of a listed one.
 
@@ -86,21 +57,15 @@ def listed_pages(pages: DataFrame, blocklist: DataFrame, url: str = "url", liste
     """
     spark = pages.sparkSession
     canon = blocklist.select(canonical(F.col(listed_url)).alias("canon")).where(F.col("canon").isNotNull()).distinct()
-    table = spark.sparkContext.broadcast(build(canon))  # bounded by MAX_BLOCKS
+    table = spark.sparkContext.broadcast(bloom.build(canon, "canon"))  # bounded by its most blocks
 
     @F.pandas_udf("boolean")
     def possible(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        words = table.value
         for first, second in frames:
-            block = (first.to_numpy() % len(words)).astype(np.int64)
-            h, hit = second.to_numpy().view(np.uint64), np.ones(len(first), dtype=bool)
-            for i in range(BITS):
-                bit = (h >> np.uint64(7 * i)) & np.uint64(511)
-                hit &= (words[block, (bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-            yield pd.Series(hit)
+            yield pd.Series(bloom.passes(table.value, first.to_numpy(), second.to_numpy()))
 
     rows = packed(pages, canon=canonical(F.col(url)))
-    rows = rows.withColumn("maybe", F.when(F.col("canon").isNotNull(), possible(F.xxhash64("canon"), F.xxhash64("canon", F.lit(1)))).otherwise(F.lit(False)))
+    rows = rows.withColumn("maybe", F.when(F.col("canon").isNotNull(), possible(*bloom.hashes(F.col("canon")))).otherwise(F.lit(False)))
     hits = rows.select(F.when(F.col("maybe"), F.col("canon")).alias("canon"), "row")
     # A null key joins nothing and stays where it is; only possible hits need the exact answer.
     sure = canon.withColumnRenamed("canon", "on_list")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terravalor.llm import ann, jaccard_join, line_dedup, mixing, packing, quality, secret_scan, sharding, token_counts, url_filter
+from terravalor.llm import ann, bloom, jaccard_join, line_dedup, mixing, packing, quality, secret_scan, sharding, token_counts, url_filter
 
 RANKS = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -143,7 +143,7 @@ def test_canonical_urls_and_filter(spark):
 
 
 def test_overfull_filter_gives_the_same_answer(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "MAX_BLOCKS", 1)
+    monkeypatch.setattr(bloom, "MAX_BLOCKS", 1)
     pages = spark.range(3000).select(F.concat(F.lit("http://h/"), F.col("id")).alias("url"))
     listed = pages.where(F.expr("url like '%7'"))
     assert url_filter.listed_pages(pages, listed).where("listed <> (url like '%7')").count() == 0
