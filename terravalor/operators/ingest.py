@@ -123,3 +123,10 @@ def clean_listing_export(raw: DataFrame) -> DataFrame:
         F.lit(fmt).alias("source_format"),
     ).where(F.col("mls_number") != "")
     return price_difference(listing)
+
+
+def clean_listing_exports(frames: list[DataFrame]) -> DataFrame:
+    """Exports of several formats as one listing table; each frame is read by its own header."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [clean_listing_export(f) for f in frames])

@@ -257,11 +257,18 @@ def vector_names() -> list[str]:
     return [*NUMERIC, *[f"missing_{c}" for c in NUMERIC], *CATEGORICAL]
 
 
-def tree_pipeline(iterations: int = 10, depth: int = 4, loss: str = "squared", label: str = "label"):
+def bins_for(rows: DataFrame, least: int = 64) -> int:
+    """Bins enough for every category of every categorical feature and the one for unseen values."""
+    counts = rows.agg(*[F.count_distinct(f"k_{c}").alias(c) for c in CATEGORICAL]).first()
+    return max(least, *(counts[c] + 2 for c in CATEGORICAL))
+
+
+def tree_pipeline(iterations: int = 10, depth: int = 4, loss: str = "squared", label: str = "label", bins: int = 64):
+    """Boosted trees; ``bins`` must cover the categories (see ``bins_for``)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.regression import GBTRegressor
 
-    trees = GBTRegressor(labelCol=label, maxIter=iterations, maxDepth=depth, lossType=loss, maxBins=64, seed=7)
+    trees = GBTRegressor(labelCol=label, maxIter=iterations, maxDepth=depth, lossType=loss, maxBins=bins, seed=7)
     return Pipeline(stages=[*assembler_stages(), trees])
 
 
@@ -270,7 +277,7 @@ def cross_validated(rows: DataFrame, folds: DataFrame, iterations: int = 5, dept
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 
-    pipeline = tree_pipeline(iterations, depth)
+    pipeline = tree_pipeline(iterations, depth, bins=bins_for(rows))
     score = RegressionEvaluator(labelCol="label", metricName="mae")
     if grid:
         params = ParamGridBuilder().addGrid(pipeline.getStages()[-1].maxDepth, [2, depth]).build()

@@ -52,19 +52,26 @@ def _ranked(df: DataFrame, keys: list[str], order: list[Column], k: int, name: s
 def search_pid(queries: DataFrame, props: DataFrame, limit: int = 10) -> DataFrame:
     """Properties whose number contains the fragment: an equi-join on its substrings.
 
-    Each substring keeps ``limit`` properties before the join, so a short
-    fragment never pulls in the whole table.
+    Numbers are cut into pieces of every length that is asked for, at every position. Each piece
+    keeps ``limit`` properties before the join, so a short fragment never pulls in the whole
+    table. An empty fragment finds nothing.
     """
-    pieces = F.expr("flatten(transform(sequence(2, 9), n -> transform(sequence(1, 10 - n), i -> substring(pid, i, n))))")
-    index = props.select("pid", F.explode(F.array_distinct(pieces)).alias("fragment"))
+    wanted = queries.select("query", F.regexp_replace("query", "[- ]", "").alias("fragment")).where("fragment <> ''").distinct()
+    lengths = wanted.agg(F.sort_array(F.collect_set(F.length("fragment"))).alias("n")).first()["n"]  # as many as fragment lengths
+    pieces = F.array()
+    if lengths:
+        cut = lambda n: F.when(F.length("pid") >= n, F.transform(F.sequence(F.lit(1), F.length("pid") - n + 1), lambda i: F.substring(F.col("pid"), i, n)))
+        pieces = F.flatten(F.transform(F.array(*[F.lit(n) for n in lengths]), lambda n: F.coalesce(cut(n), F.array().cast("array<string>"))))
+    index = props.select("pid", F.explode(F.array_distinct(pieces.cast("array<string>"))).alias("fragment"))
     index = _ranked(index, ["fragment"], [F.col("pid")], limit)
-    wanted = queries.select("query", F.regexp_replace("query", "[- ]", "").alias("fragment")).distinct()
     return wanted.join(index, "fragment").select("query", "pid", "rank")
 
 
 def search_address(queries: DataFrame, props: DataFrame, limit: int = 10) -> DataFrame:
-    """Street words by prefix plus a civic number: exact numbers first, else the nearest.
+    """Street words by prefix, with or without a civic number.
 
+    With one: lots of that number, else the nearest numbers, else whatever lies on the street.
+    Without: numbered lots of the street, else any. ``kind`` says which (exact, nearest, street).
     Works on distinct queries, distinct streets and at most ``limit`` properties
     per address, so its cost follows the number of addresses, not of pairs.
     """
@@ -107,18 +114,34 @@ def search_address(queries: DataFrame, props: DataFrame, limit: int = 10) -> Dat
     nearest = _ranked(
         close.select("query", "street_name", "_near", "_d").join(per_number, ["street_name", "_near"]), ["query"], [F.col("_d"), F.col("pid")], limit
     )
-    return exact.unionByName(nearest.select("query", "pid", "rank", F.lit("nearest").alias("kind")))
+    nearest = nearest.select("query", "pid", "rank", F.lit("nearest").alias("kind"))
+
+    every = props.where(F.col("street_name").isNotNull()).select("pid", "street_name", civic.alias("_own"))
+    on_street = lambda rows: _ranked(rows.select("street_name", "pid"), ["street_name"], [F.col("pid")], limit, "_r")
+    street = lambda of, rows: _ranked(of.join(on_street(rows), "street_name"), ["query"], [F.col("pid")], limit).select("query", "pid", "rank", F.lit("street").alias("kind"))
+    found = exact.unionByName(nearest).unionByName(street(hits.where("civic IS NULL"), every.where("_own > 0")))
+    found = materialize(found)
+    return found.unionByName(street(hits.join(found.select("query").distinct(), "query", "left_anti"), every))
 
 
 def building_units(buildings: DataFrame, props: DataFrame) -> DataFrame:
-    """Units at (civic, street): the unit number is the civic number where it differs from the lot's."""
-    lot = props.select("*", F.col("to_civic_number").cast("long").alias("building_number"))
-    unit = F.when((F.col("civic_number") > 0) & (F.col("civic_number") != F.col("building_number")), F.col("civic_number"))
-    return (
-        buildings.select("building_number", "street_name").distinct()
-        .join(lot, ["building_number", "street_name"])
-        .select("building_number", "street_name", unit.alias("unit_number"), "pid", "property_type", "total_assessed_value")
-    )
+    """Units at (civic, street): on the street of that name, else on streets that hold all its words.
+
+    The unit is the from-civic number where the table has one, else the civic number where it
+    differs from the lot's.
+    """
+    building = F.col("to_civic_number").cast("long")
+    unit = F.col("from_civic_number").cast("long") if "from_civic_number" in props.columns else F.col("civic_number")
+    differs = (unit > 0) if "from_civic_number" in props.columns else (unit > 0) & (unit != building)
+    lot = props.select(building.alias("building_number"), F.upper("street_name").alias("_street"), F.when(differs, unit).alias("unit_number"), "pid", "property_type", "total_assessed_value")
+    wanted = buildings.select("building_number", "street_name").distinct().withColumn("_name", F.upper(F.trim("street_name")))
+    exact = wanted.join(lot, (wanted["building_number"] == lot["building_number"]) & (F.col("_name") == F.col("_street"))).drop(lot["building_number"])
+    exact = materialize(exact)
+    rest = wanted.join(exact.select("building_number", "street_name").distinct(), ["building_number", "street_name"], "left_anti")
+    words = F.filter(F.split("_name", r"\s+"), lambda w: F.length(w) > 1)
+    loose = rest.join(lot, "building_number").where(F.forall(words, lambda w: F.contains(F.coalesce("_street", F.lit("")), w)))
+    columns = ["building_number", "street_name", "unit_number", "pid", "property_type", "total_assessed_value"]
+    return exact.select(*columns).unionByName(loose.select(*columns))
 
 
 def nearest_civic(requests: DataFrame, props: DataFrame) -> DataFrame:
@@ -157,16 +180,19 @@ def resolve_subjects(requests: DataFrame, props: DataFrame) -> DataFrame:
         .join(props.select("pid"), "pid", "left_semi").select("request_id", "pid", F.lit(1).alias("way"))
     )
     texts = base.where(F.col("address").isNotNull()).select("request_id", match.parse_request_address(F.col("address")).alias("_p"))
-    civic, to_civic = F.col("civic_number"), F.col("to_civic_number").cast("long")
+    texts = materialize(texts.select("request_id", F.col("_p.street").alias("_s"), F.col("_p.civic").alias("_n"), F.col("_p.unit").alias("_u")))
+    civic, to_civic = F.col("civic_number").cast("long"), F.col("to_civic_number").cast("long")
+    named = props.where(F.col("street_name").isNotNull())
+    newest = F.min(F.struct((-F.col("tax_assessment_year")).alias("y"), "pid")).alias("_b")
     address_key = (
-        props.where(F.col("street_name").isNotNull())
-        .select("pid", "tax_assessment_year", F.col("street_name").alias("_s"), F.explode(F.array_distinct(F.filter(F.array(civic, to_civic), lambda n: n > 0))).alias("_n"))
-        .groupBy("_s", "_n").agg(F.min(F.struct((-F.col("tax_assessment_year")).alias("y"), "pid")).alias("_b"))
-    )
-    by_address = (
-        texts.select("request_id", F.col("_p.street").alias("_s"), F.col("_p.civic").alias("_n")).join(address_key, ["_s", "_n"])
-        .select("request_id", F.col("_b.pid").alias("pid"), F.lit(2).alias("way"))
+        named.select("pid", "tax_assessment_year", F.col("street_name").alias("_s"), F.explode(F.array_distinct(F.filter(F.array(civic, to_civic), lambda n: n > 0))).alias("_n"))
+        .groupBy("_s", "_n").agg(newest)
     )
+    unit_key = named.where(civic > 0).groupBy(F.col("street_name").alias("_s"), to_civic.alias("_n"), civic.alias("_u")).agg(newest)
+    # The unit that an address names goes before the other lots of its number.
+    by_unit = texts.join(unit_key, ["_s", "_n", "_u"]).select("request_id", F.col("_b.pid").alias("pid"))
+    by_number = texts.join(by_unit.select("request_id"), "request_id", "left_anti").join(address_key, ["_s", "_n"]).select("request_id", F.col("_b.pid").alias("pid"))
+    by_address = by_unit.unionByName(by_number).withColumn("way", F.lit(2))
     points = base.where(F.col("latitude").isNotNull()).select(
         "request_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "property_type"
     )

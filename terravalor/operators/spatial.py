@@ -19,6 +19,7 @@ from terravalor.functions.quantiles import exact_percentiles
 from terravalor.session import materialize
 
 BROADCAST_ROWS = 500_000
+WHOLE_EARTH_DEG = 402.5  # the longest way between two points in degrees
 NEAREST_LIMIT_M = 10_000.0
 
 
@@ -195,6 +196,8 @@ def nearest(
         *place, "lvl", "_c.band", "_c.col"
     )
     dist = grid.distance(F.col("lat"), F.col("lon"), F.col("l_lat"), F.col("l_lon"))
+    if layer.rows * factor > BROADCAST_ROWS:  # only copies in cells that are searched go to the join
+        spread = spread.join(search.select(*keys).distinct(), keys, "left_semi")
     best = (
         search.join(layer.sized(spread, factor), keys)
         .withColumn("dist", dist)
@@ -526,13 +529,13 @@ def transit_score(points: DataFrame, stops: DataFrame, stop_routes: DataFrame, s
 
 
 def nearest_property(requests: DataFrame, props: DataFrame, same_type_deg: float = 0.002) -> DataFrame:
-    """Nearest property per (lat, lon, property_type) request; the same type wins if close by."""
+    """Nearest property per (lat, lon, property_type) request, however far; the same type wins if close by."""
     usable = props.where(F.col("latitude").isNotNull())
     any_layer = point_layer(usable, "latitude", "longitude", {"pid": F.min("pid")})
     typed = point_layer(usable, "latitude", "longitude", {"pid": F.min("pid")}, by=["property_type"])
     places = requests.select("lat", "lon", "property_type").distinct()
     same = nearest(places, typed, same_type_deg, DegreeGrid, by=["property_type"], payload=["pid"])
-    closest = nearest(places.select("lat", "lon").distinct(), any_layer, 1.0, DegreeGrid, payload=["pid"])
+    closest = nearest(places.select("lat", "lon").distinct(), any_layer, WHOLE_EARTH_DEG, DegreeGrid, payload=["pid"])
     return (
         places.join(closest.select("lat", "lon", F.col("pid").alias("_any")), ["lat", "lon"], "left")
         .join(

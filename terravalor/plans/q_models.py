@@ -198,7 +198,7 @@ def ratio_rows_with_features(t):
 @query("m08_ratio_model")
 def m08(t):
     rows = ratio_rows_with_features(t)
-    model = models.tree_pipeline(iterations=5, depth=3, loss="absolute").fit(rows)
+    model = models.tree_pipeline(iterations=5, depth=3, loss="absolute", bins=models.bins_for(rows)).fit(rows)
     scored = model.transform(rows)
     return scored.groupBy("property_type").agg(
         F.count(F.lit(1)).alias("n"), F.avg("prediction").alias("mean_predicted_ratio"), F.avg("label").alias("mean_ratio"),
@@ -208,14 +208,15 @@ def m08(t):
 
 @query("m11_t08_importances")
 def m11(t):
-    model = models.tree_pipeline(iterations=5, depth=4).fit(models.feature_rows(lots(t)))
+    rows = models.feature_rows(lots(t))
+    model = models.tree_pipeline(iterations=5, depth=4, bins=models.bins_for(rows)).fit(rows)
     return models.importances(model).limit(10)
 
 
 @query("m12_contributions")
 def m12(t):
     rows = models.feature_rows(lots(t))
-    model = models.tree_pipeline(iterations=5, depth=4).fit(rows)
+    model = models.tree_pipeline(iterations=5, depth=4, bins=models.bins_for(rows)).fit(rows)
     return models.contributions(model, rows)
 
 

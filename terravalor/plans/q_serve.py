@@ -57,6 +57,21 @@ def q02b(t):
     return serve.search_address(t("px_search"), t.properties)
 
 
+@query(
+    "q02_search_street",
+    """WITH q AS (SELECT DISTINCT substr(query, instr(query, ' ') + 1) AS query FROM px_search),
+       h AS (SELECT q.query, p.pid, coalesce(p.civic_number, 0) > 0 AS numbered FROM q JOIN o_properties p
+         ON regexp_matches(p.street_name, '(^|[ -])' || upper(split_part(q.query, ' ', 1)))
+         AND (split_part(q.query, ' ', 2) = '' OR regexp_matches(p.street_name, '(^|[ -])' || upper(split_part(q.query, ' ', 2))))),
+       g AS (SELECT *, bool_or(numbered) OVER (PARTITION BY query) AS any_numbered FROM h)
+       SELECT query, pid, rank, 'street' AS kind FROM (SELECT query, pid, row_number() OVER (PARTITION BY query ORDER BY pid) AS rank
+         FROM g WHERE numbered OR NOT any_numbered) r WHERE rank <= 10""",
+)
+def q02c(t):
+    streets = t("px_search").select(F.expr("substr(query, instr(query, ' ') + 1)").alias("query"))
+    return serve.search_address(streets, t.properties)
+
+
 @query(
     "q03_building_units",
     """WITH b AS (SELECT DISTINCT CAST(p.to_civic_number AS BIGINT) AS building_number, p.street_name FROM px_request r JOIN o_properties p USING (pid))

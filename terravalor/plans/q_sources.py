@@ -60,7 +60,7 @@ def s06(t):
         F.concat(F.lit("$"), F.col("maint_fee").cast("string")).alias("MaintFee"), F.lit("").alias("Locker"),
     )
     raw.write.option("header", True).csv(path)
-    out = ingest.clean_listing_export(readers.read_listing_exports(t.spark, path))
+    out = ingest.clean_listing_exports(readers.read_listing_exports(t.spark, path))
     return out.select(
         "mls_number", "sold_price", "list_price", "bedrooms", "floor_area", "property_type", "maint_fee", "source_format",
         F.round("price_diff_pct", 8).alias("price_diff_pct"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,11 +33,13 @@ def build_session(master: str | None = None, cores: int = 8, **conf: str) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: the one the cluster names, else our own.
 
-    ``spark.checkpoint.dir`` wins. Only where it is unset (tests, a laptop) a
-    local folder is made, once per session.
+    ``spark.checkpoint.dir`` wins. Only where it is unset and the executors run in
+    this process (tests, a laptop) a local folder is made, once per session.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         configured = tempfile.mkdtemp(prefix="terravalor-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:

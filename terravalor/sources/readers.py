@@ -103,10 +103,27 @@ def rings_of(collections: DataFrame) -> DataFrame:
     return add_bounds(rings.select("properties", "part", open_ring.alias("ring")))
 
 
-def read_listing_exports(spark: SparkSession, folder: str) -> DataFrame:
-    """All exports of a folder, one format per sub-pattern, with their file of origin."""
-    raw = strip_bom(read_csv(spark, folder))
-    return raw.withColumn("source_file", F.input_file_name())
+def files_by_header(spark: SparkSession, folder: str) -> dict[str, list[str]]:
+    """Data files of a folder in name order, by their first line; only that line of each is read here."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: dict[str, list[str]] = {}
+    for status in sorted(store.listStatus(path), key=lambda f: f.getPath().getName()):
+        name = status.getPath().getName()
+        if status.isFile() and name[0] not in "._":
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(store.open(status.getPath()), "UTF-8"))
+            first = reader.readLine()
+            reader.close()
+            if first:
+                found.setdefault(first.lstrip("\ufeff"), []).append(status.getPath().toString())
+    return found
+
+
+def read_listing_exports(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """All exports of a folder: one frame of text columns for each header, with the file of origin."""
+    groups = files_by_header(spark, folder).values()
+    return [strip_bom(read_csv(spark, files)).withColumn("source_file", F.input_file_name()) for files in groups]
 
 
 def census_profile(rows: DataFrame, wanted: dict[int, str], key: str = "geo") -> DataFrame:

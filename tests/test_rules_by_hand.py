@@ -147,3 +147,83 @@ def test_export_format():
     assert ingest.detect_format(["ML #", "MaintFee"]) == "attached"
     assert ingest.detect_format(["ML #", "Frontage - Feet"]) == "detached"
     assert ingest.detect_format(["ML #"]) == "unknown"
+
+
+def lots(spark):
+    rows = [
+        ("12345678901", "PINE ST", None, None, None, 2024), ("000000002", "OAK ST", None, None, None, 2024), ("000000003", "ELM ST", 7, None, None, 2024),
+        ("000000004", "ELM ST", 1, 20.0, "STRATA", 2024), ("000000005", "ELM ST", 2, 20.0, "STRATA", 2024),
+    ]
+    return spark.createDataFrame(rows, "pid string, street_name string, civic_number int, to_civic_number double, legal_type string, tax_assessment_year int").withColumns(
+        {"property_type": F.lit("condo"), "total_assessed_value": F.lit(1.0), "current_land_value": F.lit(1.0), "current_improvement_value": F.lit(0.0), "latitude": F.lit(49.2), "longitude": F.lit(-123.1)}
+    )
+
+
+def test_search_finds_streets_and_lots_without_number_and_long_fragments(spark):
+    from terravalor.operators import serve
+
+    ask = lambda *q: spark.createDataFrame([(x,) for x in q], "query string")
+    found = {(r.query, r.pid, r.kind) for r in serve.search_address(ask("PINE", "7 OAK", "7 ELM", "9 elm", "elm"), lots(spark)).collect()}
+    assert ("PINE", "12345678901", "street") in found and ("7 OAK", "000000002", "street") in found and ("7 ELM", "000000003", "exact") in found
+    assert ("9 elm", "000000003", "nearest") in found and {p for q, p, _ in found if q == "elm"} == {"000000003", "000000004", "000000005"}
+    pids = {(r.query, r.pid) for r in serve.search_pid(ask("8901", "3", "12345678901", ""), lots(spark)).collect()}
+    assert {("8901", "12345678901"), ("12345678901", "12345678901"), ("3", "000000003"), ("3", "12345678901")} == pids
+
+
+def test_units_by_word_and_subject_by_unit(spark):
+    from terravalor.operators import serve
+
+    asked = spark.createDataFrame([(20, "elm st"), (20, "Elm Street"), (20, "ST ELM")], "building_number long, street_name string")
+    got = sorted((r.street_name, r.unit_number) for r in serve.building_units(asked, lots(spark)).collect())
+    assert got == [("ST ELM", 1), ("ST ELM", 2), ("elm st", 1), ("elm st", 2)]
+    requests = spark.createDataFrame([(1, None, "20 Elm Street #2", None, None, "condo")], "request_id int, pid string, address string, latitude double, longitude double, property_type string")
+    assert serve.resolve_subjects(requests, lots(spark)).first().pid == "000000005"
+
+
+def test_exports_of_two_formats_in_one_folder(spark, tmp_path):
+    from terravalor.operators import ingest
+    from terravalor.sources import readers
+
+    (tmp_path / "a.csv").write_text('\ufeffML #,Address,Sold Price,List Price,MaintFee\nR1,10 A ST,"$100","$90",$5\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text('Sold Price,ML #,List Price,Depth,Address\n"$200",R2,"$180",30,20 B ST\n')
+    rows = {r.mls_number: r for r in ingest.clean_listing_exports(readers.read_listing_exports(spark, str(tmp_path))).collect()}
+    assert (rows["R1"].address, rows["R1"].sold_price, rows["R1"].source_format, rows["R1"].maint_fee) == ("10 A ST", 100, "attached", 5.0)
+    assert (rows["R2"].address, rows["R2"].sold_price, rows["R2"].source_format) == ("20 B ST", 200, "detached")
+
+
+def test_trees_take_more_zones_than_bins(spark):
+    from terravalor.operators import models
+
+    base = spark.range(400).select(
+        F.col("id").cast("string").alias("pid"), (F.col("id") + 1000.0).alias("total_assessed_value"), F.concat(F.lit("Z"), F.col("id") % 101).alias("zoning_district"),
+        F.lit("011").alias("neighbourhood_code"), F.lit("condo").alias("property_type"), *[F.col("id").cast("double").alias(c) for c in models.NUMERIC],
+    )
+    rows = models.feature_rows(base)
+    assert models.bins_for(rows) >= 102
+    assert models.tree_pipeline(iterations=1, depth=2, bins=models.bins_for(rows)).fit(rows).transform(rows).count() == 400
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from terravalor.session import shared_dir
+
+    conf = {}
+    context = SimpleNamespace(master="yarn", getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+    spark = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d), set=conf.__setitem__))
+    with pytest.raises(ValueError):
+        shared_dir(spark)
+    conf["spark.checkpoint.dir"] = "hdfs:///shared"
+    assert shared_dir(spark) == "hdfs:///shared"
+    conf.clear()
+    context.master = "local[4]"
+    assert shared_dir(spark)
+
+
+def test_nearest_property_has_no_limit(spark):
+    from terravalor.operators import spatial
+
+    far = spark.createDataFrame([(10.0, 20.0, "condo")], "lat double, lon double, property_type string")
+    assert spatial.nearest_property(far, lots(spark)).first().pid == "000000002"
