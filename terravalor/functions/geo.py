@@ -126,6 +126,32 @@ def ring_distance_m(lat: Column, lon: Column, ring: Column) -> Column:
     return F.when(inside_ring(lat, lon, ring), 0.0).otherwise(nearest)
 
 
+def inside_area(lat: Column, lon: Column, ring: Column, holes: Column | None = None) -> Column:
+    """Inside the outer ring and in none of the holes (an array of rings; null for none)."""
+    inside = inside_ring(lat, lon, ring)
+    if holes is None:
+        return inside
+    return inside & ~F.coalesce(F.exists(holes, lambda h: inside_ring(lat, lon, h)), F.lit(False))
+
+
+def area_distance_m(lat: Column, lon: Column, ring: Column, holes: Column | None = None) -> Column:
+    """Distance to an area with holes: 0 inside, else to the nearest edge of any of its rings."""
+    if holes is None:
+        return ring_distance_m(lat, lon, ring)
+    in_hole = F.filter(F.coalesce(holes, F.array().cast("array<array<struct<lat:double,lon:double>>>")), lambda h: inside_ring(lat, lon, h))
+    edge = lambda r: F.array_min(
+        F.transform(ring_edges(r), lambda e: segment_distance_m(lat, lon, e["a"]["lat"], e["a"]["lon"], e["b"]["lat"], e["b"]["lon"]))
+    )
+    return F.when(inside_ring(lat, lon, ring) & (F.size(in_hole) > 0), F.array_min(F.transform(in_hole, edge))).otherwise(ring_distance_m(lat, lon, ring))
+
+
+def area_sqm(ring: Column, holes: Column | None = None) -> Column:
+    """Area of the outer ring without its holes."""
+    if holes is None:
+        return ring_area_sqm(ring)
+    return ring_area_sqm(ring) - F.coalesce(F.aggregate(holes, F.lit(0.0), lambda s, h: s + ring_area_sqm(h)), F.lit(0.0))
+
+
 def ring_mean_lat(ring: Column) -> Column:
     return F.aggregate(ring, F.lit(0.0), lambda s, p: s + p["lat"]) / F.size(ring)
 

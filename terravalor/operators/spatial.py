@@ -243,8 +243,13 @@ def add_bounds(polygons: DataFrame) -> DataFrame:
     )
 
 
+def _holes(df: DataFrame) -> Column | None:
+    """The holes of polygons that carry them."""
+    return F.col("holes") if "holes" in df.columns else None
+
+
 def drop_degenerate(polygons: DataFrame, minimum_sqm: float = 1.0) -> DataFrame:
-    return polygons.withColumn("area_sqm", geo.ring_area_sqm(F.col("ring"))).where(F.col("area_sqm") >= minimum_sqm)
+    return polygons.withColumn("area_sqm", geo.area_sqm(F.col("ring"), _holes(polygons))).where(F.col("area_sqm") >= minimum_sqm)
 
 
 def in_bounding_box(df: DataFrame, lat: str, lon: str, south: float, west: float, north: float, east: float) -> DataFrame:
@@ -266,7 +271,7 @@ def containing(points: DataFrame, polygons: Layer, cell_m: float = 2_000.0) -> D
         & (F.col("lon") >= F.col("lon_min")) & (F.col("lon") <= F.col("lon_max"))
     )
     return _polygon_pairs(points, polygons, cell_m).where(boxed).where(
-        geo.inside_ring(F.col("lat"), F.col("lon"), F.col("ring"))
+        geo.inside_area(F.col("lat"), F.col("lon"), F.col("ring"), _holes(polygons.df))
     )
 
 
@@ -292,7 +297,7 @@ def polygon_distance(points: DataFrame, polygons: Layer, name: str, limit_m: flo
 
     Searched at a tenth of the limit first; only points without a hit go on.
     """
-    dist = geo.ring_distance_m(F.col("lat"), F.col("lon"), F.col("ring"))
+    dist = geo.area_distance_m(F.col("lat"), F.col("lon"), F.col("ring"), _holes(polygons.df))
 
     def search(pts: DataFrame, radius: float) -> DataFrame:
         return (
@@ -309,9 +314,9 @@ def polygon_distance(points: DataFrame, polygons: Layer, name: str, limit_m: flo
 def polygon_area_within(points: DataFrame, polygons: Layer, radius_m: float, name: str) -> DataFrame:
     """Whole area of every polygon that touches the circle; 0 when none does."""
     near = _polygon_pairs(points, polygons, radius_m).where(
-        geo.ring_distance_m(F.col("lat"), F.col("lon"), F.col("ring")) <= radius_m
+        geo.area_distance_m(F.col("lat"), F.col("lon"), F.col("ring"), _holes(polygons.df)) <= radius_m
     )
-    total = near.groupBy("lat", "lon").agg(F.sum(geo.ring_area_sqm(F.col("ring"))).alias(name))
+    total = near.groupBy("lat", "lon").agg(F.sum(geo.area_sqm(F.col("ring"), _holes(polygons.df))).alias(name))
     return points.select("lat", "lon").join(total, ["lat", "lon"], "left").withColumn(
         name, F.coalesce(F.col(name), F.lit(0.0))
     )
@@ -322,8 +327,8 @@ def match_footprints(points: DataFrame, footprints: Layer, radius_m: float = 50.
     centre = geo.ring_centroid(F.col("ring"))
     near = (
         _polygon_pairs(points, footprints, radius_m)
-        .where(geo.ring_distance_m(F.col("lat"), F.col("lon"), F.col("ring")) <= radius_m)
-        .withColumns({"area_sqm": geo.ring_area_sqm(F.col("ring")), "_c": centre})
+        .where(geo.area_distance_m(F.col("lat"), F.col("lon"), F.col("ring"), _holes(footprints.df)) <= radius_m)
+        .withColumns({"area_sqm": geo.area_sqm(F.col("ring"), _holes(footprints.df)), "_c": centre})
         .withColumn("_d", geo.haversine_m(F.col("lat"), F.col("lon"), F.col("_c.lat"), F.col("_c.lon")))
     )
     best = near.groupBy("lat", "lon").agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravalor.functions.text import number_or_null
@@ -89,18 +89,22 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rings_of(collections: DataFrame) -> DataFrame:
-    """One row per outer ring of every Polygon or MultiPolygon, with bounds."""
+    """One row per area of every Polygon or MultiPolygon: outer ring, holes, bounds."""
     from terravalor.operators.spatial import add_bounds
 
     features = collections.select(F.explode("features").alias("f"))
     kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     polygons = F.when(kind == "Polygon", F.array(F.from_json(text, POLYGON))).when(kind == "MultiPolygon", F.from_json(text, MULTIPOLYGON))
     rings = features.select(F.col("f.properties").alias("properties"), F.posexplode(polygons).alias("part", "polygon"))
-    outer = F.element_at("polygon", 1)
-    ring = F.transform(outer, lambda p: F.struct(p[1].alias("lat"), p[0].alias("lon")))
-    closed = (F.size(ring) > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1))
-    open_ring = F.when(closed, F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
-    return add_bounds(rings.select("properties", "part", open_ring.alias("ring")))
+
+    def opened(points: Column) -> Column:
+        ring = F.transform(points, lambda p: F.struct(p[1].alias("lat"), p[0].alias("lon")))
+        closed = (F.size(ring) > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1))
+        return F.when(closed, F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
+
+    outer = opened(F.element_at("polygon", 1))
+    holes = F.transform(F.slice("polygon", 2, F.greatest(F.size("polygon") - 1, F.lit(0))), opened)
+    return add_bounds(rings.select("properties", "part", outer.alias("ring"), holes.alias("holes")))
 
 
 def files_by_header(spark: SparkSession, folder: str) -> dict[str, list[str]]:

@@ -227,3 +227,22 @@ def test_nearest_property_has_no_limit(spark):
 
     far = spark.createDataFrame([(10.0, 20.0, "condo")], "lat double, lon double, property_type string")
     assert spatial.nearest_property(far, lots(spark)).first().pid == "000000002"
+
+
+def test_a_point_in_a_hole_is_outside(spark, tmp_path):
+    from terravalor.operators import spatial
+    from terravalor.sources import readers
+
+    box = lambda a, b: [[a, a], [b, a], [b, b], [a, b], [a, a]]
+    import json
+
+    feature = {"type": "Feature", "properties": {"name": "x"}, "geometry": {"type": "Polygon", "coordinates": [box(0.0, 0.04), box(0.01, 0.03)]}}
+    (tmp_path / "a.json").write_text(json.dumps({"type": "FeatureCollection", "features": [feature]}))
+    layer = spatial.as_layer(readers.read_geojson(spark, str(tmp_path)))
+    points = spark.createDataFrame([(0.02, 0.02), (0.005, 0.005), (0.05, 0.05)], "lat double, lon double")
+    inside = {r.lat: r.hit for r in spatial.inside_any(points, layer, "hit").collect()}
+    assert inside == {0.02: False, 0.005: True, 0.05: False}
+    away = {r.lat: r.d for r in spatial.polygon_distance(points, layer, "d").collect()}
+    assert away[0.005] == 0 and abs(away[0.02] - 0.01 * 111_195) < 5
+    area = spatial.drop_degenerate(layer.df).first().area_sqm
+    assert abs(area / (0.0012 * 111_195**2) - 1) < 0.001
