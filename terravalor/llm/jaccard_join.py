@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terravalor.llm import bloom
 from terravalor.llm.common import WORD
 from terravalor.session import materialize
 
@@ -30,9 +31,11 @@ TOKENS = 128
 DEPTH = 3
 DRAWS = 3
 RECALL = 0.99999
-#: A bucket of more sets is split again; at the last level it is compared in blocks of so many.
-SMALL = 256
-BLOCK = 256
+#: A bucket of more sets is split again; at the last level it is compared in pairs of blocks.
+SMALL = 2048
+BLOCK = 1024
+#: Sets of a group in one block of the exact comparison.
+EXACT_BLOCK = 256
 #: Sketch similarity from which pairs go to the exact comparison: five deviations below the limit.
 LOOSE = SIMILARITY - 5 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / TOKENS)
 
@@ -130,9 +133,12 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         label = low
 
 
-def _dealt(members: DataFrame, key: str, size: str, block: int) -> DataFrame:
-    """Members of groups dealt to pairs of blocks (key, b1, b2, mine): every two members meet in one."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col(size) / block).cast("int"))
+def _dealt(members: DataFrame, key: str, size: str, whole: int, block: int) -> DataFrame:
+    """Members of groups dealt to pairs of blocks (key, b1, b2, mine): every two members meet in one.
+
+    A group of up to ``whole`` is one block.
+    """
+    blocks = F.when(F.col(size) <= whole, F.lit(1)).otherwise(F.ceil(F.col(size) / block).cast("int"))
     rows = members.withColumn("_n", blocks).withColumn("mine", F.pmod(F.xxhash64("set_id", key), F.col("_n")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     return rows.withColumn("b1", F.least("mine", "_other")).withColumn("b2", F.greatest("mine", "_other")).drop("_n", "_other", size)
@@ -178,7 +184,7 @@ def candidates(sets: DataFrame) -> DataFrame:
         here = materialize(rows.join(sizes, "node"))
         last = level == DEPTH
         leaves = here if last else here.where(F.col("size") <= SMALL)
-        dealt = _dealt(leaves, "node", "size", BLOCK).join(sets.select("set_id", "sketch"), "set_id")
+        dealt = _dealt(leaves, "node", "size", SMALL, BLOCK).join(sets.select("set_id", "sketch"), "set_id")
         dealt = dealt.select("node", "b1", "b2", "mine", "set_id", "sketch").repartition("node", "b1", "b2").sortWithinPartitions("node", "b1", "b2")
         found = materialize(dealt.mapInPandas(_by_sketch, "a string, b string").distinct())
         edges = found if edges is None else edges.unionByName(found)
@@ -256,16 +262,22 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     loose = components(candidates(distinct.select("set_id", "sketch")))
     near = materialize(loose.withColumnRenamed("node", "set_id").join(distinct.select("set_id", "first", "copies"), "set_id"))
 
-    hashes = near.select(F.col("first.text_hash").alias("h")).distinct()
-    texts = docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("text")).join(hashes, "h").groupBy("h").agg(F.first("text").alias("text"))
+    # Only texts that a bounded filter lets through are made into shingles again; no text is shuffled.
+    wanted = materialize(near.select(F.col("first.text_hash").alias("wanted")).distinct())
+    table = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted, "wanted"))
 
     def itemize(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            frame = frame[bloom.passes(table.value, frame["first"].to_numpy(), frame["second"].to_numpy())].drop_duplicates("h")
             yield pd.DataFrame({"h": frame["h"], "items": [shingles(x).tobytes() for x in frame["text"]]})
 
-    items = materialize(texts.mapInPandas(itemize, "h long, items binary"))
+    h = F.xxhash64(text)
+    first, second = bloom.hashes(h)
+    texts = docs.select(h.alias("h"), first.alias("first"), second.alias("second"), F.col(text).alias("text"))
+    items = texts.mapInPandas(itemize, "h long, items binary").join(wanted, F.col("h") == F.col("wanted"), "left_semi")
+    items = materialize(items.groupBy("h").agg(F.min("items").alias("items")))
     sized = near.join(near.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root")
-    dealt = _dealt(sized.withColumn("h", F.col("first.text_hash")).drop("first"), "root", "size", BLOCK).join(items, "h")
+    dealt = _dealt(sized.withColumn("h", F.col("first.text_hash")).drop("first"), "root", "size", EXACT_BLOCK, EXACT_BLOCK).join(items, "h")
     dealt = dealt.select("root", "b1", "b2", "mine", "set_id", "copies", "items").repartition("root", "b1", "b2").sortWithinPartitions("root", "b1", "b2")
     links = materialize(dealt.mapInPandas(_exactly, "set_id string, to string, links long"))
 
