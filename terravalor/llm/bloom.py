@@ -30,8 +30,9 @@ def build(keys: DataFrame, key: str) -> np.ndarray:
     each = keys.select(F.pmod(first, F.lit(blocks)).cast("int").alias("block"), F.explode(F.array(*bits)).alias("bit"))
     word = [F.bit_or(F.when(F.floor(F.col("bit") / 64) == w, F.expr("shiftleft(1L, bit % 64)")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)]
     out = np.zeros((blocks, WORDS), dtype=np.int64)
-    for row in each.groupBy("block").agg(*word).toLocalIterator():
-        out[row[0]] = row[1:]
+    table = each.groupBy("block").agg(*word).toArrow()
+    for w in range(WORDS):
+        out[table["block"].to_numpy(), w] = table[f"w{w}"].to_numpy()
     return out.view(np.uint64)
 
 

@@ -71,7 +71,7 @@ s AS (SELECT source, sum(size)::BIGINT AS size, row_number() OVER (ORDER BY sour
 w AS (SELECT *, [3.0, 1.0, 2.0][1 + place % 3]::DOUBLE AS weight, 2.0 * size AS cap, 1.5 * sum(size) OVER () AS budget FROM s),
 o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
   sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open FROM w),
-l AS (SELECT min((budget - used) / open) FILTER (cap / weight > (budget - used) / open) AS level_any,
+l AS (SELECT
   arg_min((budget - used) / open, (cap / weight, place)) FILTER (cap * open > (budget - used) * weight) AS level FROM o),
 t AS (SELECT o.source, o.size AS source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, weight * level) END AS target FROM o, l),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM t),
