@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terravalor import constants as K
 from terravalor.functions import geo
-from terravalor.session import materialize
+from terravalor.session import materialize, small_side
 
 
 def ratio_estimate(props: DataFrame, ratios: DataFrame, model_ratio: Column | None = None) -> DataFrame:
@@ -16,6 +16,7 @@ def ratio_estimate(props: DataFrame, ratios: DataFrame, model_ratio: Column | No
     A model ratio, when given, takes 30 % after limits of 0.6 and 1.8.
     """
     kind = F.when(F.col("property_type") == K.DUPLEX, K.DETACHED).otherwise(F.col("property_type"))
+    ratios = small_side(ratios)  # a row for each area and type: broadcast by its written size
     local = ratios.select(
         F.col("area").alias("neighbourhood_code"), F.col("property_type").alias("_rt"),
         F.col("median_ratio").alias("_local"), F.col("n").alias("_local_n"),

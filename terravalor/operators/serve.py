@@ -9,7 +9,7 @@ from terravalor import constants as K
 from terravalor.functions.quantiles import exact_percentiles, medians
 from terravalor.functions.text import clean_pid
 from terravalor.operators import match, spatial
-from terravalor.session import fixed_table, materialize
+from terravalor.session import fixed_table, materialize, small_side
 
 # Coordinates a request may carry.
 LAT_RANGE, LON_RANGE = (48.5, 49.6), (-123.5, -122.5)
@@ -251,6 +251,7 @@ def segment_fallback(rows: DataFrame, segments: DataFrame, columns: list[str]) -
         "a": F.concat_ws("__", "neighbourhood_code", "property_type"),
         "t": F.concat_ws("__", F.lit("citywide"), "property_type"),
     }
+    segments = small_side(segments)  # written: Spark broadcasts it by its size, so hot types are not shuffled
     out = rows
     for tag, key in keys.items():
         side = segments.select(F.col("segment").alias(f"_k{tag}"), *[F.col(c).alias(f"_{tag}_{c}") for c in columns])

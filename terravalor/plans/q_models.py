@@ -90,22 +90,35 @@ def m13(t):
     return rounded(backtest(t).select("pid", "segment_used", F.col("total_assessed_value").alias("actual"), "predicted"), 2)
 
 
-@query(
-    "m14_metrics",
-    """WITH s AS (SELECT unnest(['all', 'type:' || property_type, 'area:' || neighbourhood_code, 'segment:' || segment_used]) AS scope, v AS y, predicted AS p FROM o_bt)
+METRICS_SQL = """WITH s AS (SELECT unnest(['all', 'type:' || property_type, 'area:' || neighbourhood_code, 'segment:' || segment_used]) AS scope, v AS y, predicted AS p FROM o_bt)
        SELECT scope, count(*) AS n_samples, round(avg(abs(y - p) / y * 100), 5) AS mean_ape, round(avg(abs(y - p)), 2) AS mae, round(sqrt(avg((y - p) * (y - p))), 2) AS rmse,
          round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2, round(avg(CASE WHEN abs(y - p) / y <= 0.05 THEN 1 ELSE 0 END) * 100, 4) AS hit_rate_5pct,
          round(avg(p - y) / avg(y) * 100, 5) AS bias, round(median(abs(y - p) / y * 100), 5) AS mape, round(median(abs(y - p)), 2) AS median_ae
-       FROM s GROUP BY 1 HAVING scope = 'all' OR count(*) >= 5""",
-)
-def m14(t):
-    out = models.metrics(backtest(t))
-    return out.select(
+       FROM s GROUP BY 1 HAVING scope = 'all' OR count(*) >= 5"""
+
+
+def _rounded_metrics(df):
+    return df.select(
         "scope", "n_samples", F.round("mean_ape", 5).alias("mean_ape"), F.round("mae", 2).alias("mae"), F.round("rmse", 2).alias("rmse"), F.round("r2", 6).alias("r2"),
         F.round("hit_rate_5pct", 4).alias("hit_rate_5pct"), F.round("bias", 5).alias("bias"), F.round("mape", 5).alias("mape"), F.round("median_ae", 2).alias("median_ae"),
     )
 
 
+@query("m14_metrics", METRICS_SQL)
+def m14(t):
+    return _rounded_metrics(models.metrics(backtest(t)))
+
+
+@query(
+    "t07_worst_segments",
+    f"""SELECT scope, n_samples, mean_ape FROM ({METRICS_SQL}) q WHERE scope LIKE 'segment:%' ORDER BY mean_ape DESC, scope LIMIT 5""",
+)
+def t07_segments(t):
+    """The five segments of the largest mean error in the backtest."""
+    errors = _rounded_metrics(models.metrics(backtest(t))).where("scope LIKE 'segment:%'")
+    return errors.select("scope", "n_samples", "mean_ape").orderBy(F.col("mean_ape").desc(), "scope").limit(5)
+
+
 @query(
     "m15_j18_benchmark",
     """WITH e AS (SELECT abs(v - predicted) / v * 100 AS m, abs(v - naive) / v * 100 AS b FROM o_bt)
@@ -234,11 +247,12 @@ def m17(t):
     return daily_run(t, "2000-06-15").drop("seconds")
 
 
-@query("k06_metrics_as_json")
+@query("k06_metrics_as_json", METRICS_SQL)
 def k06(t):
-    """Metrics written as JSON and read back."""
+    """All metrics written as JSON and read back."""
     from terravalor.session import landing_path
 
     out = landing_path(t.spark, "metrics")
-    models.metrics(backtest(t)).write.json(out)
-    return t.spark.read.schema("scope string, n_samples long, mape double, r2 double").json(out)
+    done = models.metrics(backtest(t))
+    done.write.json(out)
+    return _rounded_metrics(t.spark.read.schema(done.schema).json(out))
