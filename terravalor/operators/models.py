@@ -163,11 +163,12 @@ def spatial_folds(df: DataFrame, folds: int = 5) -> DataFrame:
 # ---- micro-neighbourhoods -----------------------------------------------------------------------
 
 
-def micro_neighbourhoods(df: DataFrame, features: list[str], k: int = 3, min_size: int = 50, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+def micro_neighbourhoods(df: DataFrame, features: list[str], k: int = 3, min_size: int = 50, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
     """(properties with cluster, centres): k-means of all areas at once.
 
     Every round is one join with the short table of centres and one aggregate;
     no area is ever gathered in one place. Features are standardized per area.
+    Rounds go on until no centre moves more than the tolerance.
     """
     present = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in features])
     rows = df.where(F.col("neighbourhood_code").isNotNull() & present).select("pid", "neighbourhood_code", *features)
@@ -193,9 +194,16 @@ def micro_neighbourhoods(df: DataFrame, features: list[str], k: int = 3, min_siz
     def assign(centres: DataFrame) -> DataFrame:
         return points.join(centres, "neighbourhood_code").withColumn("cluster", closest(F.col("x"), F.col("centres")))
 
-    centres = centres_of(start)
-    for _ in range(rounds):
-        centres = centres_of(assign(centres))
+    def way(old: DataFrame, new: DataFrame) -> float:
+        """The farthest that a centre moved; a cluster that came or went counts as far."""
+        pair = old.select("neighbourhood_code", F.col("centres").alias("_old")).join(new, "neighbourhood_code")
+        step = F.array_max(F.zip_with("_old", "centres", lambda a, b: F.coalesce(F.sqrt(squared_distance(a["c"], b["c"])), F.lit(float("inf")))))
+        return pair.agg(F.max(step)).first()[0] or 0.0
+
+    centres, moved = centres_of(start), float("inf")
+    while moved > tolerance:
+        before, centres = centres, centres_of(assign(centres))
+        moved = way(before, centres)
     label = F.concat_ws("_", "neighbourhood_code", "cluster")
     done = assign(centres).select("pid", "neighbourhood_code", "cluster", label.alias("micro_neighbourhood"))
     rest = df.where(F.col("neighbourhood_code").isNotNull() & ~present).select("pid", "neighbourhood_code").withColumn("cluster", F.lit(0))

@@ -246,3 +246,16 @@ def test_a_point_in_a_hole_is_outside(spark, tmp_path):
     assert away[0.005] == 0 and abs(away[0.02] - 0.01 * 111_195) < 5
     area = spatial.drop_degenerate(layer.df).first().area_sqm
     assert abs(area / (0.0012 * 111_195**2) - 1) < 0.001
+
+
+def test_micro_neighbourhoods_end_at_rest(spark):
+    from terravalor.operators import models
+
+    rows = [(str(i), "011", float(i % 3 * 100 + i % 7), float(i % 3 * 50 + i % 5)) for i in range(210)]
+    table = spark.createDataFrame(rows, "pid string, neighbourhood_code string, a double, b double")
+    got, centres = models.micro_neighbourhoods(table, ["a", "b"])
+    by_blob = {}
+    for r in got.collect():
+        by_blob.setdefault(int(r.pid) % 3, set()).add(r.cluster)
+    assert all(len(c) == 1 for c in by_blob.values()) and len({c for s in by_blob.values() for c in s}) == 3
+    assert len(centres.first().centres) == 3
