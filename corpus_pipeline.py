@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravalor.llm import jaccard_join, line_dedup, mixing, packing, quality
@@ -15,14 +15,20 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.keep_good(docs)
 
 
+def _whole(docs: DataFrame, but: str = "") -> Column:
+    """The document as one column, so that what an operator adds can't displace a column."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != but]).alias("whole")
+
+
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that are frequent in their source; a text with nothing left goes."""
-    cleaned = line_dedup.drop_boilerplate(docs)
-    stay = F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_dropped") == 0)
-    cleaned = cleaned.where(stay)
-    counted = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    cleaned = cleaned.withColumn("n_chars", counted) if counted is not None else cleaned
-    return cleaned.select(*docs.columns)
+    cleaned = line_dedup.drop_boilerplate(docs.select(_whole(docs, "text"), "text", "source"))
+    cut = F.col("n_dropped") > 0
+    cleaned = cleaned.where(~cut | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("whole.n_chars"))
+    return cleaned.select(*[(changed[c] if c in changed else F.col("whole").getField(c)).alias(c) for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +38,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: each document as often as it is taken."""
-    taken = mixing.mix(docs).where(F.col("copies") > 0)
-    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = mixing.mix(docs.select(_whole(docs), "doc_id", "text", "source")).where(F.col("copies") > 0)
+    return taken.select("whole", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("whole.*")
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
