@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from terravalor.llm.common import WORD
 
 #: Nodes of a task's trie; it is started anew when it has more. Longer pre-tokens are scored without it.
-NODES = 500_000
+NODES = 1_000_000
 LONG = 256
 #: Opens every pre-token.
 MARK = "▁"
@@ -41,36 +41,52 @@ class Trie:
 
     def __init__(self, pieces: dict[str, float]) -> None:
         self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
         self.byte = min(pieces.values(), default=0.0) - 10
+        #: Lengths of the pieces that may end at a place, by the last three characters there.
+        ends: dict[str, set[int]] = {}
+        for piece in pieces:
+            ends.setdefault(piece[-3:], set()).add(len(piece))
+        self.lengths = {}
+        for end, found in ends.items():
+            shorter = {n for n in (1, 2) if end[-n:] in pieces}
+            self.lengths[end] = sorted(found | shorter)
         self.clear()
 
     def clear(self) -> None:
-        self.next: dict[tuple[int, str], int] = {}
+        self.next: dict[int, int] = {}
         self.score = [0.0]
         self.count = [0]
         self.counts: dict[str, int] = {}
 
-    def _best(self, text: str, end: int, scores: list[float], counts: list[int]) -> tuple[float, int]:
-        """Score and tokens of the best way to text[:end]; of equal scores the fewer tokens. The lists hold the last prefixes."""
+    def _best(self, text: str, end: int, path, score: list[float], count: list[int]) -> tuple[float, int]:
+        """Score and tokens of the best way to text[:end]; of equal scores the fewer tokens. path: where each prefix is kept."""
         best, tokens = -math.inf, 0
-        for n in range(1, min(self.longest, end) + 1):
-            piece = self.pieces.get(text[end - n : end])
-            if piece is not None and (s := scores[-n] + piece) >= best:
-                if s > best or counts[-n] + 1 < tokens:
-                    best, tokens = s, counts[-n] + 1
-        if text[end - 1] not in self.pieces:
-            size = len(text[end - 1].encode("utf-8", "surrogatepass"))
-            if (s := scores[-1] + size * self.byte) > best:
-                best, tokens = s, counts[-1] + size
+        last, pieces = text[end - 1], self.pieces
+        known = self.lengths
+        lengths = known.get(text[end - 3 : end] if end > 2 else text[:end]) or known.get(text[end - 2 : end] if end > 1 else last) or (1,)
+        for n in lengths:
+            if n > end:
+                break
+            piece = pieces.get(text[end - n : end])
+            if piece is not None:
+                at = path[end - n]
+                s = score[at] + piece
+                if s > best or (s == best and count[at] + 1 < tokens):
+                    best, tokens = s, count[at] + 1
+        if last not in pieces:
+            size, at = len(last.encode("utf-8", "surrogatepass")), path[end - 1]
+            s = score[at] + size * self.byte
+            if s > best or (s == best and count[at] + size < tokens):
+                best, tokens = s, count[at] + size
         return best, tokens
 
     def _along(self, text: str) -> int:
-        scores, counts = [0.0], [0]
+        score, count, path = [0.0], [0], range(len(text) + 1)
         for end in range(1, len(text) + 1):
-            s, c = self._best(text, end, scores, counts)
-            scores, counts = [*scores[1 - self.longest :], s], [*counts[1 - self.longest :], c]
-        return counts[-1]
+            s, c = self._best(text, end, path, score, count)
+            score.append(s)
+            count.append(c)
+        return count[-1]
 
     def tokens(self, text: str) -> int:
         """Tokens of a pre-token, remembered with it."""
@@ -81,20 +97,20 @@ class Trie:
             return self._along(text)
         if len(self.score) > NODES:
             self.clear()
+        after, score, count = self.next, self.score, self.count
         node, path = 0, [0]
-        for end in range(1, len(text) + 1):
-            key = (node, text[end - 1])
-            child = self.next.get(key)
+        for end, char in enumerate(text, 1):
+            key = node * 0x110000 + ord(char)
+            child = after.get(key)
             if child is None:
-                near = path[-self.longest :]
-                s, c = self._best(text, end, [self.score[i] for i in near], [self.count[i] for i in near])
-                child = self.next[key] = len(self.score)
-                self.score.append(s)
-                self.count.append(c)
+                s, c = self._best(text, end, path, score, count)
+                child = after[key] = len(score)
+                score.append(s)
+                count.append(c)
             node = child
             path.append(node)
-        self.counts[text] = self.count[node]
-        return self.count[node]
+        self.counts[text] = count[node]
+        return count[node]
 
 
 def count_tokens(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
