@@ -183,7 +183,7 @@ def search(vectors: DataFrame, asks: Column, vec_id: str = "vec_id", vector: str
     rows = vectors.where(usable(vector) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(asks, F.lit(False)).alias("asks"))
     rows = materialize(rows)
     sample: dict[int, list] = {}
-    for row in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect():
+    for row in materialize(rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector")).collect():
         sample.setdefault(len(row.vector), []).append(row.vector)
     tables = Tables({d: fit(np.array(v)) for d, v in sample.items()}, projections(rows.count()))
     each = 1 - (1 - target) ** (1 / tables.tables)

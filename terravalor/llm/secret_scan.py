@@ -41,7 +41,7 @@ def dictionary(docs: DataFrame, text: str = "text", words: int = DICTIONARY) ->
     """The words that stand in the most documents: a bounded list, ties in alphabetical order."""
     found = docs.select(F.explode(F.array_distinct(words_of(F.lower(text_of(text))))).alias("word")).where(F.col("word").rlike(r"^\p{L}{3,}$"))
     often = found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    return [r.word for r in often.collect()]
+    return [r.word for r in materialize(often).orderBy(F.desc("n"), "word").collect()]  # written first: the driver gets the list alone
 
 
 def candidates(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
