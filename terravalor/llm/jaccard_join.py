@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -219,24 +220,30 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _reach(shared: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which pairs have the limit's similarity or more, in whole numbers: a pair at the limit is in."""
+    limit = Fraction(str(SIMILARITY))
+    return limit.denominator * shared >= limit.numerator * (sizes[:, None] + sizes[None, :] - shared)
+
+
 def _exactly(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for group in _groups(frames, ["root", "b1", "b2"]):
         if len(group) < 2:
             continue
         items = [np.frombuffer(x, dtype=np.uint64) for x in group["items"]]
-        sizes = np.array([len(x) for x in items])
+        sizes = np.array([len(x) for x in items], dtype=np.int64)
         owner = np.repeat(np.arange(len(items)), sizes)
         _, where, df = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
         owner, where = owner[df[where] > 1], where[df[where] > 1]
         order = np.argsort(where, kind="stable")
         owner, where = owner[order], np.unique(where[order], return_inverse=True)[1]
-        shared = np.zeros((len(items), len(items)), dtype=np.float32)
+        shared = np.zeros((len(items), len(items)), dtype=np.int64)
         for at in range(0, int(where[-1]) + 1 if len(where) else 0, 4096):
             a, b = np.searchsorted(where, [at, at + 4096])
             part = np.zeros((len(items), 4096), dtype=np.float32)
             part[owner[a:b], where[a:b] - at] = 1
-            shared += part @ part.T
-        linked = _met(group) & (shared * (1 + SIMILARITY) >= SIMILARITY * (sizes[:, None] + sizes[None, :]) - 1e-6)
+            shared += (part @ part.T).astype(np.int64)
+        linked = _met(group) & _reach(shared, sizes)
         counts = linked @ group["copies"].to_numpy().astype(np.int64)
         roots, ids = _roots(linked), group["set_id"].to_numpy()
         some = counts > 0
