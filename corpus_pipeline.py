@@ -21,8 +21,11 @@ def _whole(docs: DataFrame, but: str = "") -> Column:
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that are frequent in their source; a text with nothing left goes."""
-    cleaned = line_dedup.drop_boilerplate(docs.select(_whole(docs, "text"), "text", "source"))
+    """Texts without the lines that are frequent in their source; a text with nothing left goes.
+
+    Copies of a text weigh as one, so that a page with many is left to the near-duplicate stage.
+    """
+    cleaned = line_dedup.drop_boilerplate(docs.select(_whole(docs, "text"), "text", "source"), copies=False)
     cut = F.col("n_dropped") > 0
     cleaned = cleaned.where(~cut | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     changed = {"text": F.col("text")}

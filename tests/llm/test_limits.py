@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from terravalor.llm import jaccard_join
+import corpus_pipeline
+from terravalor.llm import jaccard_join, line_dedup
 
 
 def test_pairs_at_the_limit_are_linked_and_those_below_are_not(spark):
@@ -15,3 +16,17 @@ def test_pairs_at_the_limit_are_linked_and_those_below_are_not(spark):
             want[name] = int(5 * shared >= 4 * (one + other - shared))
     got = {r.doc_id: r.n_links for r in jaccard_join.classes(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
     assert got == want
+
+
+def test_a_third_of_all_rows_being_copies_leaves_one(spark):
+    copy = "first line of a page that was copied often\nits second line"
+    rows = [(i, copy if i % 3 == 0 else f"head\nbody of page {i} alone", "a") for i in range(300)]
+    rows += [(1000 + i, "clean and short text\nof a small source" if i < 3 else f"some other page {i}", "b") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    cleaned = corpus_pipeline.without_boilerplate(spark, docs, "")
+    got = {r.doc_id: r.text for r in cleaned.collect()}
+    assert len(got) == 400 and got[0] == copy and got[1] == "body of page 1 alone" and got[1001] == "clean and short text\nof a small source"
+    left = [r.text for r in jaccard_join.keep_one(cleaned).collect()]
+    assert left.count(copy) == 1
+    rowwise = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(docs).collect()}
+    assert rowwise[0] == "" and rowwise[1] == "body of page 1 alone"
