@@ -1,7 +1,8 @@
 """Lexical retrieval packing of documents into token sequences.
 
-Long documents fill windows of their own. What is left of each goes into the
-inverted index of its shard; a window opens with a seed and takes the unused
+Long documents fill windows of their own. What is left of each is ordered by the
+rare terms it shares with others, over the whole table, and goes into the inverted
+index of its shard, a run of that order; a window opens with a seed and takes the unused
 neighbour of the highest BM25 score to what it was opened with, again and again.
 The last one is cut, so that windows are full, and its rest opens the next.
 """
@@ -17,23 +18,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravalor.llm.common import packed
 from terravalor.llm.tokens import Encoder, spread
+from terravalor.session import materialize
 
 WINDOW = 1024
 #: Documents of one index shard, which one task holds at a time.
 SHARD = 512
 K1, B = 1.2, 0.75
+#: Terms drawn of a document for its place in the order.
+DRAWN = 4
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
 
 class Index:
     """An inverted index over bags of token ids with BM25 weights in its postings.
 
-    Tokens in over half of the shard's bags have no positive weight and no postings.
+    ``idf`` by token and ``mean`` length are those of all bags of the table; tokens in over
+    half of them have no positive weight and no postings.
     """
 
-    def __init__(self, bags: list[np.ndarray]) -> None:
+    def __init__(self, bags: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
         n = len(bags)
         unique = [np.unique(bag, return_counts=True) for bag in bags]
         owner = np.repeat(np.arange(n), [len(u) for u, _ in unique])
@@ -41,8 +45,8 @@ class Index:
         count = np.concatenate([c for _, c in unique]).astype(np.float64)
         sizes = np.array([len(b) for b in bags], dtype=np.float64)
         terms, where, df = np.unique(token, return_inverse=True, return_counts=True)
-        idf = np.log((n - df + 0.5) / (df + 0.5))
-        weight = idf[where] * count * (K1 + 1) / (count + K1 * (1 - B + B * sizes[owner] / sizes.mean()))
+        idf = idf[terms]
+        weight = idf[where] * count * (K1 + 1) / (count + K1 * (1 - B + B * sizes[owner] / mean))
         useful = (idf[where] > 0) & (df[where] > 1)
         owner, where, weight = owner[useful], where[useful], weight[useful]
         order = np.argsort(where, kind="stable")
@@ -63,7 +67,36 @@ class Index:
         return np.bincount(self._owner[at], self._weight[at], self.n)
 
 
-def windows(lengths: list[int], bags: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int, int]]]:
+def inverse_frequencies(tokens: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
+    """BM25 idf of ``n`` bags by token."""
+    out = np.zeros(int(tokens.max()) + 1 if len(tokens) else 1)
+    out[tokens] = np.log((n - df + 0.5) / (df + 0.5))
+    return out
+
+
+def draws(idf: np.ndarray, n: int) -> np.ndarray:
+    """For each token and draw when it comes up, by a hash and its idf; never where no second bag has it."""
+    token = np.arange(len(idf), dtype=np.uint64)
+    shared = (idf > 0) & (idf < np.log((n - 0.5) / 1.5) - 1e-9)
+    out = np.full((DRAWN, len(idf)), np.inf)
+    with np.errstate(over="ignore", divide="ignore"):
+        for k in range(DRAWN):
+            h = (token + np.uint64(1 + k * 0x10001)) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            u = ((h >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
+            out[k, shared] = -np.log(u[shared]) / idf[shared]
+    return np.ascontiguousarray(out.T)
+
+
+def order_key(bag: np.ndarray, drawn: np.ndarray) -> str:
+    """The first token of the bag in each draw; bags that share rare terms agree in the first ones more often."""
+    times = drawn[bag]
+    first = times.argmin(axis=0)
+    return "".join(f"{bag[at]:08x}" if times[at, k] < np.inf else "ffffffff" for k, at in enumerate(first))
+
+
+def windows(lengths: list[int], bags: list[np.ndarray], window: int, idf: np.ndarray, mean: float) -> Iterator[list[tuple[int, int, int]]]:
     """Windows of pieces (document, start, length) over one shard; only the last may be short."""
     tails = []
     for doc, n in enumerate(lengths):
@@ -72,7 +105,7 @@ def windows(lengths: list[int], bags: list[np.ndarray], window: int) -> Iterator
             tails.append(doc)
     if not tails:
         return
-    index = Index([bags[d][-(lengths[d] % window):] for d in tails])
+    index = Index([bags[d][-(lengths[d] % window):] for d in tails], idf, mean)
     unused = np.ones(len(tails), dtype=bool)
     place, left = 0, None
     while True:
@@ -110,37 +143,85 @@ def windows(lengths: list[int], bags: list[np.ndarray], window: int) -> Iterator
 def pack(docs: DataFrame, ranks_file: str, pattern: str, end_id: int = 0, text: str = "text", window: int = WINDOW, shard: int = SHARD, with_ids: bool = True) -> DataFrame:
     """One row a piece: the document's columns but its text, and start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
-    Each document's ids, closed by ``end_id``, are cut into pieces; every id lies in one. A shard
-    is a run of consecutive documents of a task, so nothing is shuffled, a hot source or group of
-    copies lies in as many shards as it needs, and the memory is that of one shard. One window a
-    shard at most is short. A null or empty text is its end id alone; repeated rows are documents
-    of their own; an empty table gives an empty result. Input columns named like an output give
-    way. A task run again gives the same pieces as long as its input rows come in the same order,
-    as those of files do.
+    Each document's ids, closed by ``end_id``, are cut into pieces; every id lies in one. Whole
+    windows of a document are sequences as they are. The tails are written and brought into one
+    order over the whole table: by tokens drawn of each, the rarer the likelier, then by their
+    place in the files. A shard is a run of that order within a range of it, so a hot token or
+    group of copies is cut by place into as many ranges and shards as it needs, and the memory
+    is that of one shard. Document frequencies and the mean length are those of all tails; they
+    come to the driver, a row for each token of the vocabulary at most. One window a shard at
+    most is short. A null or empty text is its end id alone; repeated rows are documents of
+    their own; an empty table gives an empty result. Input columns named like an output give way.
     """
     outputs = [c.split()[0] for c in SCHEMA.split(", ")]
     names = [c for c in docs.columns if c != text and c not in outputs]
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in names)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def framed(part: pd.DataFrame, out: list[tuple]) -> pd.DataFrame:
+        pieces = pd.DataFrame(out, columns=["_doc", *outputs])
+        carried = part[names].iloc[pieces.pop("_doc").astype(int)].reset_index(drop=True)
+        return pd.concat([carried, pieces.astype({"sequence_id": "Int64"})], axis=1)
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Whole windows as they come out; a tail has no sequence_id, and its place as its offset."""
         encode = Encoder(ranks_file, pattern).ids
         serial = TaskContext.get().partitionId() << 33
         for frame in frames:
             for first in range(0, len(frame), shard):
                 part = frame.iloc[first : first + shard]
-                ids = [np.append(encode(x), np.uint32(end_id)) for x in part["_text"]]
-                lengths = [len(x) for x in ids]
                 out: list[tuple] = []
-                for pieces in windows(lengths, ids, window):
-                    offset = 0
-                    for doc, at, n in pieces:
-                        piece = ids[doc][at : at + n]
-                        out.append((doc, at, n, zlib.crc32(piece.astype("<u4").tobytes()), lengths[doc], serial, offset, piece if with_ids else None))
-                        offset += n
-                    serial += 1
-                pieces = pd.DataFrame(out, columns=["_doc", *outputs])
-                carried = part[names].iloc[pieces.pop("_doc")].reset_index(drop=True)
-                yield pd.concat([carried, pieces], axis=1)
-
-    return rows.mapInPandas(run, f"{kinds}, {SCHEMA}" if kinds else SCHEMA)
+                for doc, x in enumerate(part["_text"]):
+                    ids = np.append(encode(x), np.uint32(end_id))
+                    for at in range(0, len(ids), window):
+                        piece = ids[at : at + window]
+                        whole = len(piece) == window
+                        kept = piece.astype(np.int32) if with_ids or not whole else None
+                        out.append((doc, at, len(piece), zlib.crc32(piece.astype("<u4").tobytes()), len(ids), serial if whole else None, 0 if whole else serial, kept))
+                        serial += 1
+                yield framed(part, out)
+
+    cuts = materialize(rows.mapInPandas(cut, f"{kinds}{SCHEMA}"))
+    tails = cuts.where("sequence_id IS NULL")
+    n, total = tails.agg(F.count(F.lit(1)), F.sum("length")).first()
+    known = tails.select(F.explode(F.array_distinct("ids")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).collect()
+    idf = inverse_frequencies(np.array([r.token for r in known], dtype=np.int64), np.array([r.df for r in known], dtype=np.float64), n)
+    corpus = docs.sparkSession.sparkContext.broadcast((idf, (total or 1) / max(n, 1), n))
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        idf, _, n = corpus.value
+        drawn = draws(idf, n)
+        for frame in frames:
+            frame["_key"] = [order_key(x, drawn) for x in frame["ids"]]
+            yield frame
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        idf, mean, _ = corpus.value
+        serial = (1 << 62) + (TaskContext.get().partitionId() << 33)
+        for part in _shards(frames, shard):
+            ids, starts, totals = list(part["ids"]), list(part["start"]), list(part["doc_tokens"])
+            out: list[tuple] = []
+            for pieces in windows([len(x) for x in ids], ids, window, idf, mean):
+                offset = 0
+                for doc, at, size in pieces:
+                    piece = ids[doc][at : at + size]
+                    out.append((doc, starts[doc] + at, size, zlib.crc32(piece.astype("<u4").tobytes()), totals[doc], serial, offset, piece if with_ids else None))
+                    offset += size
+                serial += 1
+            yield framed(part, out)
+
+    # Written, so that finding the ranges does not draw a second time.
+    placed = materialize(tails.mapInPandas(place, f"{kinds}{SCHEMA}, _key string")).repartitionByRange("_key", "offset").sortWithinPartitions("_key", "offset")
+    return cuts.where("sequence_id IS NOT NULL").unionByName(placed.mapInPandas(run, f"{kinds}{SCHEMA}"))
+
+
+def _shards(frames: Iterator[pd.DataFrame], shard: int) -> Iterator[pd.DataFrame]:
+    """Runs of ``shard`` rows across batches; the last may be shorter."""
+    left = None
+    for frame in frames:
+        frame = frame if left is None else pd.concat([left, frame], ignore_index=True)
+        whole = len(frame) // shard * shard
+        yield from (frame.iloc[at : at + shard] for at in range(0, whole, shard))
+        left = frame.iloc[whole:]
+    if left is not None and len(left):
+        yield left

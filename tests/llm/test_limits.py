@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
+import public_tokenizers
+
 import corpus_pipeline
-from terravalor.llm import jaccard_join, line_dedup
+from terravalor.llm import jaccard_join, line_dedup, packing
 
 
 def test_pairs_at_the_limit_are_linked_and_those_below_are_not(spark):
@@ -30,3 +34,15 @@ def test_a_third_of_all_rows_being_copies_leaves_one(spark):
     assert left.count(copy) == 1
     rowwise = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(docs).collect()}
     assert rowwise[0] == "" and rowwise[1] == "body of page 1 alone"
+
+
+def test_neighbours_far_apart_in_the_files_are_packed_together(spark):
+    dice = random.Random(3)
+    pairs = [" ".join("".join(dice.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(30)) for _ in range(700)]
+    rows = [(i, f"the page says {pairs[i % 700]} and so on") for i in range(1400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False).collect()
+    lies: dict[int, set] = {}
+    for p in pieces:
+        lies.setdefault(p.doc_id, set()).add(p.sequence_id)
+    assert len(lies) == 1400 and sum(bool(lies[i] & lies[i + 700]) for i in range(700)) >= 500
