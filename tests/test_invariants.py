@@ -200,7 +200,7 @@ def test_intervals_hold_their_order(t):
 
 def test_micro_neighbourhoods_cover_every_property(t):
     props = t.properties.withColumn("log_value", F.log("total_assessed_value"))
-    done, _ = models.micro_neighbourhoods(props, ["log_value", "land_ratio", "year_built"], min_size=5, rounds=3)
+    done, _ = models.micro_neighbourhoods(props, ["log_value", "land_ratio", "year_built"], min_size=5)
     assert done.select("pid").distinct().count() == props.count()
     assert done.groupBy("neighbourhood_code").agg(F.count_distinct("cluster").alias("c")).where("c > 3").count() == 0
 
