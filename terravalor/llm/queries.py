@@ -31,7 +31,7 @@ def load() -> None:
     """Import what registers queries."""
     from importlib import import_module
 
-    for name in ("q_rows", "q_search", "q_text"):
+    for name in ("q_rows", "q_search", "q_text", "q_clean"):
         import_module(f"terravalor.llm.{name}")
     import corpus_pipeline
 
