@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravalor.llm import decontaminate
+from terravalor.llm import decontaminate, lexical_search
 from terravalor.llm.queries import query, table
 
-_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_TERMS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 
 DECONTAMINATE_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
@@ -32,3 +34,23 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontaminate.mark(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
     digest = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
     return marked.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+g AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM s),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+p AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+x AS (SELECT term, floor(1000 * ln((2 * max(nn) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM p, g GROUP BY term),
+y AS (SELECT p.r, p.term, s.doc_id, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))) AS part FROM p JOIN s USING (r) JOIN x USING (term), g),
+z AS (SELECT item_id, r, doc_id, sum(part)::BIGINT AS score FROM q JOIN y USING (term) GROUP BY ALL HAVING sum(part) > 0)
+SELECT item_id, rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM z)
+WHERE rank <= 50
+"""
+
+
+@query("op13_lexical_search", SEARCH_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=50)
