@@ -78,7 +78,7 @@ def _filter(shingles: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def _scan(texts: DataFrame, shingles: DataFrame) -> DataFrame:
-    """``digest``, ``n``, ``at``, ``shingle``: places of texts that may hold an item's shingle, and a row without one for each text.
+    """``digest``, ``n``, ``at``, ``shingle``: places of texts that may hold an item's shingle, and rows without one at each text's end.
 
     ``texts`` has ``digest`` and ``t``. Each place is tested in the bounded filter while the row
     is at hand, so words are never shuffled.
@@ -95,7 +95,9 @@ def _scan(texts: DataFrame, shingles: DataFrame) -> DataFrame:
         hits.append(F.coalesce(F.getbit(F.get(bits, word), bit) == 1, F.lit(False)))
     found = places.where(reduce(or_, hits, F.col("at") == F.col("n")))
     kept = [F.when(hit, F.concat_ws(" ", *[F.get("words", F.col("at") + i) for i in range(n)])) for hit, n in zip(hits, lengths, strict=True)]
-    return found.select("digest", "n", "at", F.explode_outer(F.array_compact(F.array(*kept))).alias("shingle"))
+    # The words stay behind here: what follows may copy rows.
+    found = found.select("digest", "n", "at", F.array(*kept).alias("shingles")) if len(kept) > 1 else found.select("digest", "n", "at", kept[0].alias("shingle"))
+    return found if len(kept) == 1 else found.select("digest", "n", "at", F.explode("shingles").alias("shingle"))
 
 
 def _prefixes(windows: DataFrame, counts: DataFrame, share: float) -> DataFrame:
