@@ -154,6 +154,7 @@ def signed(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     named = rows.select(
         F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit(" ")).alias("role"), F.coalesce(F.col(text), F.lit(" ")).alias("text"), gone.alias("gone")
     )
+    named = named.repartition("conv_id")  # serves both windows and the grouping: texts move once
     again = Window.partitionBy("conv_id", "gone", "role", F.md5("text")).orderBy("place")
     in_order = Window.partitionBy("conv_id", "gone").orderBy(F.asc_nulls_first("turn"), "role", "text")
     initial = F.substring("role", 1, 1)
