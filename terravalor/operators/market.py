@@ -489,7 +489,10 @@ def ratio_table(sales: DataFrame) -> DataFrame:
         & F.col("neighbourhood_code").isNotNull()
         & F.col("property_type").isNotNull()
     )
-    kept = trim_outliers(valid, ["neighbourhood_code", "property_type"], "ratio")
+    from terravalor.session import materialize
+
+    # Read several times below: the trim's join runs once.
+    kept = materialize(trim_outliers(valid.select("neighbourhood_code", "property_type", "ratio"), ["neighbourhood_code", "property_type"], "ratio"))
     stacked = kept.select(
         F.explode(F.array(F.col("neighbourhood_code"), F.lit("_all"))).alias("area"), "property_type", "ratio"
     )

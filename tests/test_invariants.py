@@ -31,14 +31,13 @@ def haversine(a, b, c, d):
     return 2 * 6_371_000 * math.asin(math.sqrt(min(1.0, h)))
 
 
-@pytest.mark.parametrize("whole", [0, 1_000_000])
-def test_exact_percentiles_match_sorting(spark, whole):
+@pytest.mark.parametrize("bound", [3, 500, 1_000_000])
+def test_exact_percentiles_match_sorting(spark, bound):
+    """The same for every bound: many rounds of brackets, few, none."""
     rng = random.Random(5)
     rows = [("hot", rng.choice([1.0, 2.0, rng.random() * 100])) for _ in range(30_000)] + [("small", float(i)) for i in range(7)] + [("one", 3.0)]
     df = spark.createDataFrame(rows, "k string, v double")
-    # The bracket path needs a large group; small groups always rank whole.
-    limit = 5_000 if whole == 0 else whole
-    got = {r.k: r for r in exact_percentiles(df, ["k"], "v", {"q": 0.25, "m": 0.5, "u": UPPER_MEDIAN, "top": 1.0}, limit).collect()}
+    got = {r.k: r for r in exact_percentiles(df, ["k"], "v", {"q": 0.25, "m": 0.5, "u": UPPER_MEDIAN, "top": 1.0}, bound).collect()}
     for key in ("hot", "small", "one"):
         values = sorted(v for k, v in rows if k == key)
         pos = 0.25 * (len(values) - 1)
@@ -48,6 +47,45 @@ def test_exact_percentiles_match_sorting(spark, whole):
         assert got[key].u == values[len(values) // 2] and got[key].top == values[-1] and got[key].n == len(values)
 
 
+def test_percentiles_of_values_of_many_sizes(spark):
+    """Outliers, signs, infinities and one value that fills most of a group: ranks are found in few rounds."""
+    rng = random.Random(6)
+    odd = [-math.inf, -1e300, -1e-300, -0.0, 0.0, 1e-300, 1e-9, 1e300, math.inf, math.nan]
+    rows = [math.exp(rng.uniform(-40, 40)) * rng.choice([-1, 1]) for _ in range(4_000)] + [7.25] * 3_000 + odd
+    df = spark.createDataFrame([(v,) for v in rows], "v double")
+    want = sorted(rows, key=lambda v: (math.isnan(v), v))
+    probs = {f"p{i}": i / (len(rows) - 1) for i in (0, 1, 5, 2000, 2004, 3000, 5500, len(rows) - 2, len(rows) - 3)}
+    got = exact_percentiles(df, [], "v", probs, bound=2).first()
+    for name, p in probs.items():
+        assert got[name] == pytest.approx(want[round(p * (len(rows) - 1))], rel=1e-6, abs=0), name
+    assert math.isnan(exact_percentiles(df, [], "v", {"top": 1.0}, bound=2).first().top)
+
+
+def test_percentiles_by_weight_and_by_rank(spark):
+    rng = random.Random(7)
+    rows = [(i % 3, rng.random(), rng.choice([0, 1, 5, 900])) for i in range(900)]
+    df = spark.createDataFrame(rows, "k int, v double, w int")
+    third = lambda n: (F.lit(2), F.lit(2), F.lit(0.0))
+    beyond = lambda n: (n, n, F.lit(0.0))
+    for bound in (10, 10_000_000):
+        for r in exact_percentiles(df, ["k"], "v", {"q": 0.1, "third": third, "none": beyond}, bound, weight="w").collect():
+            values = sorted(v for k, v, w in rows if k == r.k for _ in range(w))
+            pos = 0.1 * (len(values) - 1)
+            lo, hi = values[math.floor(pos)], values[math.ceil(pos)]
+            assert r.n == len(values) and r.third == values[2] and r.none is None and r.q == pytest.approx(lo + (hi - lo) * (pos - math.floor(pos)))
+
+
+def test_no_task_ranks_more_rows_than_the_bound(spark, monkeypatch):
+    from terravalor.functions import quantiles
+
+    seen = []
+    ranked = quantiles._values
+    monkeypatch.setattr(quantiles, "_values", lambda base, targets: seen.append(targets.agg(F.max(F.when(F.col("_low") < F.col("_high"), F.col("_rows")))).first()[0]) or ranked(base, targets))
+    df = spark.range(300_000).select((F.col("id") % 2).alias("k"), F.exp(F.rand(3) * 20).alias("v"))
+    exact_percentiles(df, ["k"], "v", {"a": 0.1, "b": 0.9}, bound=1_000).collect()
+    assert seen[0] is None or seen[0] <= 1_000
+
+
 def test_percentiles_without_keys_and_without_rows(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (None,)], "v double")
     assert exact_percentiles(df, [], "v", {"m": 0.5}).first().m == 2.0
