@@ -238,91 +238,7 @@ def assign_centres(vectors: DataFrame, centres: DataFrame, key: str, vector: str
     return best.select(key, F.col("b.cluster").alias("cluster"))
 
 
-# ---- boosted trees ---------------------------------------------------------------------------------
-
-NUMERIC = ("latitude", "longitude", "dist_downtown_m", "year_built", "effective_age", "lot_size_sqft")
-CATEGORICAL = ("neighbourhood_code", "property_type", "zoning_district")
-
-
-def feature_rows(df: DataFrame, target: str = "total_assessed_value") -> DataFrame:
-    """Log target, numbers with missing flags; value-derived columns stay out of the features."""
-    out = df.where((F.col(target) > 0)).withColumn("label", F.log(F.col(target)))
-    fills = {f"f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in NUMERIC}
-    flags = {f"missing_{c}": F.col(c).isNull().cast("double") for c in NUMERIC}
-    keys = {f"k_{c}": F.coalesce(F.col(c), F.lit("none")) for c in CATEGORICAL}
-    return out.withColumns({**fills, **flags, **keys})
-
-
-def assembler_stages() -> list:
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-
-    index = StringIndexer(inputCols=[f"k_{c}" for c in CATEGORICAL], outputCols=[f"i_{c}" for c in CATEGORICAL], handleInvalid="keep")
-    names = [f"f_{c}" for c in NUMERIC] + [f"missing_{c}" for c in NUMERIC] + [f"i_{c}" for c in CATEGORICAL]
-    return [index, VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")]
-
-
-def vector_names() -> list[str]:
-    return [*NUMERIC, *[f"missing_{c}" for c in NUMERIC], *CATEGORICAL]
-
-
-def bins_for(rows: DataFrame, least: int = 64) -> int:
-    """Bins enough for every category of every categorical feature and the one for unseen values."""
-    counts = rows.agg(*[F.count_distinct(f"k_{c}").alias(c) for c in CATEGORICAL]).first()
-    return max(least, *(counts[c] + 2 for c in CATEGORICAL))
-
-
-def tree_pipeline(iterations: int = 10, depth: int = 4, loss: str = "squared", label: str = "label", bins: int = 64):
-    """Boosted trees; ``bins`` must cover the categories (see ``bins_for``)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.regression import GBTRegressor
-
-    trees = GBTRegressor(labelCol=label, maxIter=iterations, maxDepth=depth, lossType=loss, maxBins=bins, seed=7)
-    return Pipeline(stages=[*assembler_stages(), trees])
-
-
-def cross_validated(rows: DataFrame, folds: DataFrame, iterations: int = 5, depth: int = 4, grid: bool = False):
-    """Fit with area folds; ``grid`` searches depth on one held-out split instead."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
-
-    pipeline = tree_pipeline(iterations, depth, bins=bins_for(rows))
-    score = RegressionEvaluator(labelCol="label", metricName="mae")
-    if grid:
-        params = ParamGridBuilder().addGrid(pipeline.getStages()[-1].maxDepth, [2, depth]).build()
-        return TrainValidationSplit(estimator=pipeline, estimatorParamMaps=params, evaluator=score, trainRatio=0.8, seed=7).fit(rows)
-    dealt = rows.join(F.broadcast(folds), "neighbourhood_code").withColumn("fold", F.col("fold").cast("int"))
-    params = ParamGridBuilder().build()
-    return CrossValidator(estimator=pipeline, estimatorParamMaps=params, evaluator=score, numFolds=5, foldCol="fold", seed=7).fit(dealt)
-
-
-def importances(model) -> DataFrame:
-    """Feature importances as rows, largest first."""
-    from pyspark.sql import SparkSession
-
-    values = [float(v) for v in model.stages[-1].featureImportances.toArray()]
-    spark = SparkSession.active()
-    return spark.createDataFrame(list(zip(vector_names(), values)), "feature string, importance double").orderBy(
-        F.col("importance").desc(), "feature"
-    )
-
-
-def contributions(model, rows: DataFrame, key: str = "pid", top: int = 10) -> DataFrame:
-    """Drivers per row: change of the score when one feature takes its typical value.
-
-    A stand-in for tree attributions. The rows are repeated once per feature and
-    scored in one transform.
-    """
-    typical = rows.agg(*[F.percentile_approx(f"f_{c}", 0.5).alias(f"f_{c}") for c in NUMERIC], *[F.mode(f"k_{c}", True).alias(f"k_{c}") for c in CATEGORICAL]).first()
-    columns = [f"f_{c}" for c in NUMERIC] + [f"k_{c}" for c in CATEGORICAL]
-    repeated = rows.withColumn("_swap", F.explode(F.array(F.lit(""), *[F.lit(c) for c in columns])))
-    swapped = repeated.withColumns({c: F.when(F.col("_swap") == c, F.lit(typical[c])).otherwise(F.col(c)) for c in columns})
-    scored = model.transform(swapped).select(key, "_swap", "prediction")
-    base = scored.where("_swap = ''").select(key, F.col("prediction").alias("_base"))
-    diffs = scored.where("_swap <> ''").join(base, key).select(
-        key, F.substring("_swap", 3, 100).alias("feature"), (F.col("_base") - F.col("prediction")).alias("contribution")
-    )
-    w = Window.partitionBy(key).orderBy(F.abs("contribution").desc(), "feature")
-    return diffs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+# ---- sales for the ratio model ------------------------------------------------------------------
 
 
 def ratio_model_rows(sales: DataFrame, sparse_limit: float = 0.60) -> DataFrame:

@@ -1,10 +1,11 @@
-"""Modelling queries. Lines and evaluation have oracles; tree models are checked by invariants."""
+"""Modelling queries. Lines and evaluation have oracles; tree models are checked on planted values and by invariants."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terravalor.operators import market, models
+from terravalor.operators import market, models, value_models
+from terravalor.plans import runs, value
 from terravalor.plans.proxies import ORACLE_ONLY
 from terravalor.plans.q_spatial import hav
 from terravalor.plans.registry import query, rounded
@@ -166,85 +167,115 @@ def m03(t):
 
 @query("m01_m02_feature_matrix")
 def m01(t):
-    from pyspark.ml import Pipeline
-
-    rows = models.feature_rows(lots(t))
-    matrix = Pipeline(stages=models.assembler_stages()).fit(rows).transform(rows)
+    """The encoded matrix of all valued properties: label, width and sum of each vector."""
     from pyspark.ml.functions import vector_to_array
 
     v = vector_to_array("features")
-    return matrix.select("pid", "label", F.size(v).alias("width"), F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("checksum"))
+    return value.trained(t).matrix.select("pid", "label", "part", F.size(v).alias("width"), F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("checksum"))
 
 
 @query("m06_value_model")
 def m06(t):
-    """Cross-validated error of the pooled value model, with area folds."""
-    rows = models.feature_rows(lots(t))
-    fitted = models.cross_validated(rows, models.spatial_folds(t.universe))
-    scored = fitted.transform(rows).withColumn("predicted", F.exp("prediction"))
-    return scored.groupBy("property_type").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("predicted") - F.col("total_assessed_value")) / F.col("total_assessed_value") * 100).alias("mean_ape"),
-        F.lit(float(fitted.avgMetrics[0])).alias("cv_log_mae"),
-    )
+    """Every segment's model: rows, rounds grown, weight against the middle, and its error and coverage on rows that nothing was fitted on."""
+    known = value.trained(t)
+    rows = [(e["name"], e["rows"], e["settings"]["rounds_used"], e["settings"]["weight"]) for e in known.entries]
+    fitted = t.spark.createDataFrame(rows, "segment string, rows long, rounds_used int, weight double")
+    errors = known.metrics.select(F.expr("substring(scope, 9)").alias("segment"), "n_samples", "mape", "mean_ape", "covered_pct", F.col("scope").startswith("segment:").alias("_of"))
+    return fitted.join(errors.where("_of").drop("_of"), "segment", "left")
 
 
-@query("m07_parameter_search")
-def m07(t):
-    rows = models.feature_rows(lots(t))
-    fitted = models.cross_validated(rows, models.spatial_folds(t.universe), iterations=3, grid=True)
-    scored = fitted.transform(rows)
-    depth = fitted.bestModel.stages[-1].getMaxDepth()
-    return scored.groupBy("property_type").agg(F.avg(F.abs(F.col("prediction") - F.col("label"))).alias("log_mae"), F.lit(depth).alias("best_depth"))
+@query("m06_check_metrics")
+def m06c(t):
+    """Errors and interval coverage on the check rows, by all, type, area and segment."""
+    return value.trained(t).metrics
 
 
-def ratio_rows_with_features(t):
-    """Trimmed sales with the property's features and the ratio as label."""
-    sales = t.matched.select(
-        "mls_number", "neighbourhood_code", F.col("assessed_type").alias("property_type"), F.col("sale_to_assessment_ratio").alias("ratio"),
-        F.col("matched_pid").alias("pid"),
-    ).where("pid IS NOT NULL")
-    kept = models.ratio_model_rows(sales)
-    props = lots(t).drop("neighbourhood_code", "property_type")
-    return models.feature_rows(kept.join(props, "pid")).withColumn("label", F.col("ratio"))
+@query("m07_parameter_search")
+def m07(t):
+    """Successive halving over nine settings: every trial with its rung, share of rows, fold and error."""
+    known = value.trained(t)
+    matrix = value.matrix_of(known)
+    best, trials = value_models.search(matrix, models.spatial_folds(t.universe), budget=9)
+    rows = [(*trial, trial[3] == value.as_text(best)) for trial in trials]
+    return t.spark.createDataFrame(rows, "rung int, share double, fold int, settings string, log_error double, is_best boolean")
 
 
 @query("m08_ratio_model")
 def m08(t):
-    rows = ratio_rows_with_features(t)
-    model = models.tree_pipeline(iterations=5, depth=3, loss="absolute", bins=models.bins_for(rows)).fit(rows)
-    scored = model.transform(rows)
-    return scored.groupBy("property_type").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("prediction").alias("mean_predicted_ratio"), F.avg("label").alias("mean_ratio"),
-        F.avg(F.abs(F.col("prediction") - F.col("label"))).alias("mae"),
-    )
+    """The ratio model of each type, or its median: rows, rounds and error over folds beside that of the median."""
+    rows = [
+        (e["name"].removeprefix("ratio__"), e["rows"], "trees" if e["path"] else "median", e["settings"].get("rounds_used"), e["metrics"].get("cv_mae"), e["metrics"]["median_mae"])
+        for e in value.trained(t).ratio_entries
+    ]
+    return t.spark.createDataFrame(rows, "property_type string, n long, way string, rounds_used int, cv_mae double, median_mae double")
+
+
+@query("m09_interval_levels")
+def m09c(t):
+    """Calibrated residual levels per area and type, type and city."""
+    return value.trained(t).levels
+
+
+@query("m10_model_scores")
+def m10m(t):
+    """Every property scored by its most specific model, with its 80 % interval."""
+    known = value.trained(t)
+    scored = value_models.predict(known.matrix, known.entries)
+    return rounded(value_models.with_levels(scored, known.levels).select("pid", "model_segment", "predicted", "lower", "upper"), 2)
 
 
 @query("m11_t08_importances")
 def m11(t):
-    rows = models.feature_rows(lots(t))
-    model = models.tree_pipeline(iterations=5, depth=4, bins=models.bins_for(rows)).fit(rows)
-    return models.importances(model).limit(10)
+    """The ten features that weigh most in the city's model."""
+    city = next(e for e in value.trained(t).entries if e["name"] == value_models.CITY)
+    rows = sorted(city["metrics"]["importances"].items(), key=lambda x: (-x[1], x[0]))[:10]
+    return t.spark.createDataFrame(rows, "feature string, importance double")
 
 
 @query("m12_contributions")
 def m12(t):
-    rows = models.feature_rows(lots(t))
-    model = models.tree_pipeline(iterations=5, depth=4, bins=models.bins_for(rows)).fit(rows)
-    return models.contributions(model, rows)
+    """The ten drivers of every property's score."""
+    known = value.trained(t)
+    return value.contributions(known, known.table.where("total_assessed_value > 0"))
+
+
+@query("m13_tree_backtest")
+def m13t(t):
+    """Trees fitted on the years before, against the median of area and type, on the last year."""
+    return value.tree_backtest(t, 2026)
+
+
+@query("u06_feature_difference")
+def u06(t):
+    """Per model: features that the plain property table lacks, and its columns that are no feature."""
+    known = value.trained(t)
+    missing, extra = known.features.difference(t.properties.columns)
+    rows = [(e["name"], "missing", c) for e in known.entries for c in missing] + [(e["name"], "extra", c) for e in known.entries for c in extra]
+    return t.spark.createDataFrame(rows, "model string, side string, feature string")
+
+
+@query("k06_model_inventory")
+def k06i(t):
+    """What the store holds of the newest version."""
+    known = value.trained(t)
+    return value.store_of(t).inventory().where(F.col("version") == known.version).select("name", "kind", "rows", "settings", F.size("features").alias("n_features"))
 
 
 @query("m16_a28_batch_run")
 def m16(t):
-    from terravalor.plans.runs import batch_run
+    return runs.batch_run(t).drop("seconds")
 
-    return batch_run(t).drop("seconds")
+
+@query("a28_stage_summary")
+def a28(t):
+    """Stages by status, and the errors of all segments' models."""
+    known = value.trained(t)
+    return runs.run_summary(runs.batch_run(t, data_only=True)).drop("min_seconds", "mean_seconds", "max_seconds").withColumns({c: e for c, e in runs.error_summary(known.metrics).items()})
 
 
 @query("m17_daily_run")
 def m17(t):
-    from terravalor.plans.runs import daily_run
-
-    return daily_run(t, "2000-06-15").drop("seconds")
+    return runs.daily_run(t, "2000-06-15").drop("seconds")
 
 
 @query("k06_metrics_as_json", METRICS_SQL)

@@ -221,10 +221,28 @@ def j20(t):
     return serve.nearest_segment(t.properties, counts.where("n >= 25").select("area", "seg_type"))
 
 
+@query(
+    "q07_request_subjects",
+    """WITH a AS (SELECT request_id, 1 AS way, p.pid FROM px_request r JOIN o_properties p ON p.pid = r.pid
+         UNION ALL SELECT request_id, 2, pid FROM (SELECT request_id, p.pid, row_number() OVER (PARTITION BY request_id ORDER BY
+              CASE WHEN p.property_type = r.req_type AND sqrt(pow(r.req_lat - p.latitude, 2) + pow(r.req_lon - p.longitude, 2)) < 0.002 THEN 0 ELSE 1 END,
+              sqrt(pow(r.req_lat - p.latitude, 2) + pow(r.req_lon - p.longitude, 2)), p.pid) AS rn FROM px_request r, o_properties p) y WHERE rn = 1),
+       b AS (SELECT request_id, min_by(pid, way) AS pid, min(way) AS way FROM a GROUP BY 1)
+       SELECT r.request_id, b.pid, CASE b.way WHEN 1 THEN 'pid' ELSE 'nearest' END AS resolved_by, p.property_type, round(p.total_assessed_value, 2) AS total_assessed_value
+       FROM px_request r JOIN b USING (request_id) JOIN o_properties p ON p.pid = b.pid""",
+)
+def q07s(t):
+    """The part of the valuation that no model decides: every request and its subject."""
+    from terravalor.plans.value import request_subjects
+
+    found = request_subjects(t).join(t.properties.select("pid", "property_type"), "pid")
+    return found.select("request_id", "pid", "resolved_by", "property_type", F.round("total_assessed_value", 2).alias("total_assessed_value"))
+
+
 @query("q07_full_valuation")
 def q07(t):
-    """Request → subject → ratio estimate → rules → comparables → blend → interval → grade."""
-    from terravalor.plans.runs import value_requests
+    """Request → subject → model → rules → comparables → blend → interval → grade, for every request."""
+    from terravalor.plans.value import value_requests
 
     return rounded(value_requests(t), 2)
 
