@@ -245,8 +245,8 @@ def predict(rows: DataFrame, entries: list[dict]) -> DataFrame:
     dealt, out = landing_path(spark, "to-score"), landing_path(spark, "scored")
     dealt_rows = rows.withColumn("model_segment", used).where(F.col("model_segment").isNotNull())
     dealt_rows.hint("rebalance", "model_segment").write.partitionBy("model_segment").parquet(dealt)
-    present = [r.model_segment for r in spark.read.parquet(dealt).select("model_segment").distinct().collect()]
     schema = dealt_rows.schema
+    present = [r.model_segment for r in spark.read.schema(schema).parquet(dealt).select("model_segment").distinct().collect()]
 
     def job(segment: str) -> None:
         entry = known[segment]
@@ -310,7 +310,7 @@ def draw_settings(n: int, seed: int = 7, base: Settings = Settings()) -> list[Se
     drawn = [
         replace(
             base, depth=dice.randint(3, 7), step=round(0.02 * 15 ** dice.random(), 4), sample=round(dice.uniform(0.5, 1.0), 3), min_rows=dice.choice([1, 5, 10, 20, 50]),
-            rounds=dice.choice([200, 400, 800]),
+            rounds=dice.choice([base.rounds // 2, base.rounds, 2 * base.rounds]),
         )
         for _ in range(n - 1)
     ]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terravalor.functions import dates, text
+from terravalor.session import landing_path
 from terravalor.operators import comps, features, ingest, match, rates, rules, structure, universe
 
 
@@ -191,17 +192,20 @@ def test_exports_of_two_formats_in_one_folder(spark, tmp_path):
     assert (rows["R2"].address, rows["R2"].sold_price, rows["R2"].source_format) == ("20 B ST", 200, "detached")
 
 
-def test_trees_take_more_zones_than_bins(spark):
-    from terravalor.operators import models
+def test_categories_beyond_the_default_bins(spark):
+    """More categories than the learner's usual bins are all kept apart."""
+    from terravalor.operators import value_models as V
 
-    base = spark.range(400).select(
-        F.col("id").cast("string").alias("pid"), (F.col("id") + 1000.0).alias("total_assessed_value"), F.concat(F.lit("Z"), F.col("id") % 101).alias("zoning_district"),
-        F.lit("011").alias("neighbourhood_code"), F.lit("condo").alias("property_type"), *[F.col("id").cast("double").alias(c) for c in models.NUMERIC],
+    rows = spark.range(400).select(
+        F.format_string("%05d", "id").alias("pid"), F.concat(F.lit("Z"), (F.col("id") % 100).cast("string")).alias("zoning_district"),
+        F.lit("011").alias("neighbourhood_code"), F.lit("condo").alias("property_type"), F.exp(F.lit(12.0) + (F.col("id") % 100) / 100).alias("total_assessed_value"),
     )
-    rows = models.feature_rows(base)
-    assert models.bins_for(rows) >= 102
-    assert models.tree_pipeline(iterations=1, depth=2, bins=models.bins_for(rows)).fit(rows).transform(rows).count() == 400
-
+    features = V.feature_set(rows)
+    codes = V.encoder(V.encoded(rows, features), features)
+    matrix = V.write_matrix(rows, features, codes, landing_path(spark, "bins"), target=F.log("total_assessed_value"))
+    assert matrix.bins >= 102
+    model = V.fit(matrix.rows().withColumn("held", F.col("part") == "stop"), V.Settings(rounds=2, depth=2), matrix.bins, 400)
+    assert model.transform(matrix.rows()).count() == 400
 
 def test_a_cluster_needs_a_shared_folder():
     from types import SimpleNamespace
