@@ -13,7 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,11 +89,23 @@ def draws(idf: np.ndarray, n: int) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
-def order_key(bag: np.ndarray, drawn: np.ndarray) -> str:
-    """The first token of the bag in each draw; bags that share rare terms agree in the first ones more often."""
-    times = drawn[bag]
-    first = times.argmin(axis=0)
-    return "".join(f"{bag[at]:08x}" if times[at, k] < np.inf else "ffffffff" for k, at in enumerate(first))
+def order_keys(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+    """For each bag its first token in each draw (16 bytes, larger tokens later); bags that share rare terms agree in the first ones more often."""
+    out = np.empty((len(starts), DRAWN), dtype=">u4")
+    owner = np.repeat(np.arange(len(starts)), lengths)
+    for k in range(DRAWN):
+        times = drawn[values, k]
+        least = np.minimum.reduceat(times, starts)
+        hits = np.flatnonzero(times == least[owner])
+        first = hits[np.searchsorted(owner[hits], np.arange(len(starts)))]
+        out[:, k] = np.where(least < np.inf, values[first], 0xFFFFFFFF)
+    return out
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, starts and lengths of a column of lists without nulls."""
+    lengths = column.value_lengths().to_numpy()
+    return column.flatten().to_numpy(), np.cumsum(lengths) - lengths, lengths
 
 
 def windows(lengths: list[int], bags: list[np.ndarray], window: int, idf: np.ndarray, mean: float) -> Iterator[list[tuple[int, int, int]]]:
@@ -158,70 +170,86 @@ def pack(docs: DataFrame, ranks_file: str, pattern: str, end_id: int = 0, text:
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(text), F.lit("")).alias("_text"))
     kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in names)
 
-    def framed(part: pd.DataFrame, out: list[tuple]) -> pd.DataFrame:
-        pieces = pd.DataFrame(out, columns=["_doc", *outputs])
-        carried = part[names].iloc[pieces.pop("_doc").astype(int)].reset_index(drop=True)
-        return pd.concat([carried, pieces.astype({"sequence_id": "Int64"})], axis=1)
+    def framed(part: pa.RecordBatch | pa.Table, doc: np.ndarray, *columns: pa.Array) -> pa.RecordBatch:
+        carried = part.select(names).take(pa.array(doc, pa.int64()))
+        arrays = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in carried.columns]
+        arrays = [pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in arrays]
+        return pa.RecordBatch.from_arrays([*arrays, *columns], names=[*names, *outputs])
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole windows as they come out; a tail has no sequence_id, and its place as its offset."""
         encode = Encoder(ranks_file, pattern).ids
         serial = TaskContext.get().partitionId() << 33
-        for frame in frames:
-            for first in range(0, len(frame), shard):
-                part = frame.iloc[first : first + shard]
-                out: list[tuple] = []
-                for doc, x in enumerate(part["_text"]):
-                    ids = np.append(encode(x), np.uint32(end_id))
-                    for at in range(0, len(ids), window):
-                        piece = ids[at : at + window]
-                        whole = len(piece) == window
-                        kept = piece.astype(np.int32) if with_ids or not whole else None
-                        out.append((doc, at, len(piece), zlib.crc32(piece.astype("<u4").tobytes()), len(ids), serial if whole else None, 0 if whole else serial, kept))
-                        serial += 1
-                yield framed(part, out)
-
-    cuts = materialize(rows.mapInPandas(cut, f"{kinds}{SCHEMA}"))
+        end = np.array([end_id], dtype=np.uint32)
+        for batch in batches:
+            for first in range(0, batch.num_rows, shard):
+                part = batch.slice(first, shard)
+                texts = [np.concatenate([encode(x), end]) for x in part.column("_text").to_pylist()]
+                sizes = np.array([len(x) for x in texts], dtype=np.int64)
+                doc = np.repeat(np.arange(len(texts)), -(-sizes // window))
+                nth = spread(np.zeros(len(texts), dtype=np.int64), -(-sizes // window))
+                start, total = nth * window, sizes[doc]
+                length = np.minimum(window, total - start)
+                whole = length == window
+                pieces = [texts[d][a : a + n] for d, a, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+                crc = pa.array([zlib.crc32(x) for x in pieces], pa.int64())
+                place = serial + np.arange(len(pieces))
+                kept = np.full(len(pieces), True) if with_ids else ~whole
+                held = [x for x, k in zip(pieces, kept.tolist(), strict=True) if k]
+                ends = np.concatenate([[0], np.cumsum(np.where(kept, length, 0))])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(~kept, False)), pa.array(np.concatenate([*held, end[:0]]).astype(np.int32)))
+                yield framed(
+                    part, doc, pa.array(start), pa.array(length), crc, pa.array(total), pa.array(place, mask=~whole), pa.array(np.where(whole, 0, place)), ids
+                )
+                serial += len(pieces)
+
+    cuts = materialize(rows.mapInArrow(cut, f"{kinds}{SCHEMA}"))
     tails = cuts.where("sequence_id IS NULL")
     n, total = tails.agg(F.count(F.lit(1)), F.sum("length")).first()
     known = tails.select(F.explode(F.array_distinct("ids")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).collect()
     idf = inverse_frequencies(np.array([r.token for r in known], dtype=np.int64), np.array([r.df for r in known], dtype=np.float64), n)
     corpus = docs.sparkSession.sparkContext.broadcast((idf, (total or 1) / max(n, 1), n))
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, _, n = corpus.value
         drawn = draws(idf, n)
-        for frame in frames:
-            frame["_key"] = [order_key(x, drawn) for x in frame["ids"]]
-            yield frame
+        for batch in batches:
+            if batch.num_rows:
+                keys = order_keys(*_lists(batch.column("ids")), drawn)
+                yield batch.append_column("_key", pa.array([k.tobytes() for k in keys], pa.binary()))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, mean, _ = corpus.value
         serial = (1 << 62) + (TaskContext.get().partitionId() << 33)
-        for part in _shards(frames, shard):
-            ids, starts, totals = list(part["ids"]), list(part["start"]), list(part["doc_tokens"])
-            out: list[tuple] = []
-            for pieces in windows([len(x) for x in ids], ids, window, idf, mean):
-                offset = 0
-                for doc, at, size in pieces:
-                    piece = ids[doc][at : at + size]
-                    out.append((doc, starts[doc] + at, size, zlib.crc32(piece.astype("<u4").tobytes()), totals[doc], serial, offset, piece if with_ids else None))
-                    offset += size
-                serial += 1
-            yield framed(part, out)
+        for part in _shards(batches, shard):
+            values, starts, _ = _lists(part.column("ids").combine_chunks())
+            ids = np.split(values, starts[1:])
+            begin, totals = part.column("start").to_numpy(), part.column("doc_tokens").to_numpy()
+            packed = list(windows([len(x) for x in ids], ids, window, idf, mean))
+            doc, at, size = (np.array(x, dtype=np.int64) for x in zip(*[piece for pieces in packed for piece in pieces], strict=True))
+            counts = np.array([len(pieces) for pieces in packed])
+            sequence = serial + np.repeat(np.arange(len(packed)), counts)
+            before = np.cumsum(size) - size
+            offset = before - np.repeat(before[np.cumsum(counts) - counts], counts)
+            pieces = [ids[d][a : a + n] for d, a, n in zip(doc.tolist(), at.tolist(), size.tolist(), strict=True)]
+            crc = pa.array([zlib.crc32(np.ascontiguousarray(x)) for x in pieces], pa.int64())
+            kept = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate(pieces))) if with_ids else pa.nulls(len(pieces), pa.list_(pa.int32()))
+            yield framed(part, doc, pa.array(begin[doc] + at), pa.array(size), crc, pa.array(totals[doc]), pa.array(sequence), pa.array(offset), kept)
+            serial += len(packed)
 
     # Written, so that finding the ranges does not draw a second time.
-    placed = materialize(tails.mapInPandas(place, f"{kinds}{SCHEMA}, _key string")).repartitionByRange("_key", "offset").sortWithinPartitions("_key", "offset")
-    return cuts.where("sequence_id IS NOT NULL").unionByName(placed.mapInPandas(run, f"{kinds}{SCHEMA}"))
+    placed = materialize(tails.mapInArrow(place, f"{kinds}{SCHEMA}, _key binary")).repartitionByRange("_key", "offset").sortWithinPartitions("_key", "offset")
+    return cuts.where("sequence_id IS NOT NULL").unionByName(placed.mapInArrow(run, f"{kinds}{SCHEMA}"))
 
 
-def _shards(frames: Iterator[pd.DataFrame], shard: int) -> Iterator[pd.DataFrame]:
+def _shards(batches: Iterator[pa.RecordBatch], shard: int) -> Iterator[pa.Table]:
     """Runs of ``shard`` rows across batches; the last may be shorter."""
     left = None
-    for frame in frames:
-        frame = frame if left is None else pd.concat([left, frame], ignore_index=True)
-        whole = len(frame) // shard * shard
-        yield from (frame.iloc[at : at + shard] for at in range(0, whole, shard))
-        left = frame.iloc[whole:]
-    if left is not None and len(left):
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if left is None else pa.concat_tables([left, table])
+        whole = table.num_rows // shard * shard
+        yield from (table.slice(at, shard) for at in range(0, whole, shard))
+        left = table.slice(whole)
+    if left is not None and left.num_rows:
         yield left

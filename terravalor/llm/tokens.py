@@ -7,18 +7,22 @@ import base64
 import numpy as np
 
 
+#: The added token of the vocabulary's JSON file, which a ranks file leaves out: its string in a text is this one id.
+ADDED = {"<|endoftext|>": 50256}
+
+
 class Encoder:
-    """Ids of the byte-level BPE vocabulary of a ranks file; special strings are read as plain text."""
+    """Ids of the byte-level BPE vocabulary of a ranks file and its added token."""
 
     def __init__(self, ranks_file: str, pattern: str) -> None:
         import tiktoken
 
         with open(ranks_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self._encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=ADDED).encode_to_numpy
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self._encode(text), dtype=np.uint32)
+        return self._encode(text, allowed_special=set(ADDED), disallowed_special=())
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -46,3 +46,15 @@ def test_neighbours_far_apart_in_the_files_are_packed_together(spark):
     for p in pieces:
         lies.setdefault(p.doc_id, set()).add(p.sequence_id)
     assert len(lies) == 1400 and sum(bool(lies[i] & lies[i + 700]) for i in range(700)) >= 500
+
+
+def test_the_added_token_in_a_text_is_one_id(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["one<|endoftext|>two", "<|endoftext|><|endoftext|>", "<|endof text|> plain", "é<|endoftext|>\n"]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    for i, text in enumerate(texts):
+        ids = [x for p in sorted((p for p in pieces if p.doc_id == i), key=lambda p: p.start) for x in p.ids]
+        assert ids == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
