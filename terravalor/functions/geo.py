@@ -63,6 +63,14 @@ def cells_around_sql(lat_min: str, lat_max: str, lon_min: str, lon_max: str, rad
     return f"flatten(transform({bands}, b -> transform({columns}, x -> named_struct('band', b, 'col', x))))"
 
 
+def cells_beside_sql(band: str, col: str, radius_m: float) -> str:
+    """The cell (band, col) and all that can hold a point within the radius of one of its points."""
+    deg = _degrees(radius_m)
+    width = _column_width(band, deg)
+    inner = 1e-9  # a cell ends before the next one begins
+    return cells_around_sql(f"({band} + {_d(inner)}) * {deg}", f"({band} + {_d(1 - inner)}) * {deg}", f"({col} + {_d(inner)}) * {width}", f"({col} + {_d(1 - inner)}) * {width}", radius_m)
+
+
 def cells_of_box_sql(lat: str, lon: str, radius_m: float, cell_m: float) -> str:
     """Cells of one size that cover the circle of another size around a point."""
     deg, reach = _degrees(cell_m), _degrees(radius_m)

@@ -3,7 +3,7 @@
 Two rules keep them scalable. Points and layers are reduced to distinct
 locations before they meet, so copies of a point never multiply pairs. And every
 distance condition becomes an equi-join on cells, so no plan holds a nested-loop
-join. A layer is broadcast only after its rows were counted.
+join. Layers are written, so Spark knows their size and broadcasts only small ones.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from terravalor import constants as K
 from terravalor.functions import geo
 from terravalor.functions.quantiles import exact_percentiles
+from terravalor.operators import polygons
+from terravalor.operators.polygons import PolygonLayer
 from terravalor.session import materialize
 
-BROADCAST_ROWS = 500_000
 WHOLE_EARTH_DEG = 402.5  # the longest way between two points in degrees
 NEAREST_LIMIT_M = 10_000.0
 
@@ -43,6 +44,7 @@ class MetreGrid:
     def around_sql(lat: str, lon: str, r: float) -> str:
         return geo.cells_around_sql(lat, lat, lon, lon, r)
 
+    beside_sql = staticmethod(geo.cells_beside_sql)
     distance = staticmethod(geo.haversine_m)
 
 
@@ -64,6 +66,10 @@ class DegreeGrid:
             f"flatten(transform({near(lat)}, b -> transform({near(lon)}, x -> named_struct('band', b, 'col', x))))"
         )
 
+    @staticmethod
+    def beside_sql(band: str, col: str, r: float) -> str:
+        return f"flatten(transform(sequence({band} - 1, {band} + 1), b -> transform(sequence({col} - 1, {col} + 1), x -> named_struct('band', b, 'col', x))))"
+
     @staticmethod
     def distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
         return F.sqrt(F.pow(lat1 - lat2, 2) + F.pow(lon1 - lon2, 2))
@@ -79,18 +85,16 @@ def _in_cell(df: DataFrame, cell_sql: str) -> DataFrame:
 
 @dataclass
 class Layer:
-    """A materialized layer with its counted size."""
+    """A materialized layer."""
 
     df: DataFrame
-    rows: int
 
-    def sized(self, exploded: DataFrame, factor: int) -> DataFrame:
-        return F.broadcast(exploded) if self.rows * factor <= BROADCAST_ROWS else exploded
 
-
-def as_layer(df: DataFrame) -> Layer:
-    done = materialize(df)
-    return Layer(done, done.count())
+def as_layer(df: DataFrame) -> Layer | PolygonLayer:
+    """A written layer; one with rings is tessellated."""
+    if "ring" in df.columns:
+        return polygons.polygon_layer(df)
+    return Layer(materialize(df))
 
 
 def point_layer(df: DataFrame, lat: str, lon: str, aggs: dict[str, Column] | None = None, by: list[str] | None = None) -> Layer:
@@ -112,7 +116,7 @@ def pairs_within(points: DataFrame, layer: Layer, radius_m: float, by: list[str]
     """
     left = _in_cell(points, geo.cell_sql("lat", "lon", radius_m))
     right = _in_cell(layer.df, f"explode({geo.cells_around_sql('l_lat', 'l_lat', 'l_lon', 'l_lon', radius_m)})")
-    joined = left.join(layer.sized(right, 12), ["_band", "_col", *(by or [])])
+    joined = left.join(right, ["_band", "_col", *(by or [])])
     dist = geo.haversine_m(F.col("lat"), F.col("lon"), F.col("l_lat"), F.col("l_lon"))
     return joined.withColumn("dist_m", dist).where(F.col("dist_m") <= radius_m).drop("_band", "_col")
 
@@ -155,16 +159,16 @@ def nearest(
 ) -> DataFrame:
     """The nearest layer location per point: ``dist`` and the payload columns.
 
-    Cell sizes grow threefold. A point takes the finest level whose surrounding
-    cells hold anything; whatever lies there is less than three cell sizes away,
-    so one search a level up sees the true nearest. Dense places search small
-    cells only, and no more than one level is ever searched per point. Ties go
-    to the smallest payload.
+    Cell sizes grow fourfold. A point takes the finest level at which its cell or one beside it
+    holds anything; whatever lies there is less than four cell sizes away, so one search a level
+    up sees the true nearest. Dense places search small cells only, and one level is searched
+    per point. A layer row has one cell a level; what is beside a cell is worked out from the
+    occupied cells, not from rows. Ties go to the smallest payload.
     """
     by, payload = by or [], payload or []
     sizes = [grid.unit]
     while sizes[-1] < limit:
-        sizes.append(sizes[-1] * 3)
+        sizes.append(sizes[-1] * 4)
     last = len(sizes) - 1
 
     def levels(cells) -> str:
@@ -174,32 +178,31 @@ def nearest(
         ]
         return f"explode(flatten(array({', '.join(tagged)}))) AS _c"
 
+    def of_level(cells) -> str:
+        each = " ".join(f"WHEN {i} THEN {cells(r)}" for i, r in enumerate(sizes))
+        return f"explode(CASE lvl {each} END) AS _c"
+
     keep = [*by, *payload, "l_lat", "l_lon"]
-    near = levels(lambda r: grid.around_sql("l_lat", "l_lon", r))
-    spread = layer.df.selectExpr(*keep, near).selectExpr(*keep, "_c.lvl", "_c.band", "_c.col")
-    factor = 12 * len(sizes)
     keys = ["lvl", "band", "col", *by]
-    occupied = layer.sized(spread.select(*keys).distinct(), factor)
+    own = levels(lambda r: f"array({grid.cell_sql('l_lat', 'l_lon', r)})")
+    placed = layer.df.selectExpr(*keep, own).selectExpr(*keep, "_c.lvl", "_c.band", "_c.col")
+    beside = of_level(lambda r: grid.beside_sql("band", "col", r))
+    occupied = placed.select(*keys).distinct().selectExpr("lvl", *by, beside).selectExpr("lvl", "_c.band", "_c.col", *by).distinct()
 
     place = ["lat", "lon", *by]
-    own = levels(lambda r: f"array({grid.cell_sql('lat', 'lon', r)})")
+    mine = levels(lambda r: f"array({grid.cell_sql('lat', 'lon', r)})")
     level = (
-        points.selectExpr(*place, own)
+        points.selectExpr(*place, mine)
         .selectExpr(*place, "_c.lvl", "_c.band", "_c.col")
         .join(occupied, keys, "left_semi")
         .groupBy(*place)
         .agg(F.min("lvl").alias("_found"))
         .withColumn("lvl", F.least(F.col("_found") + 1, F.lit(last)))
     )
-    at_level = ", ".join(grid.cell_sql("lat", "lon", r) for r in sizes)
-    search = level.selectExpr(*place, "lvl", f"element_at(array({at_level}), lvl + 1) AS _c").selectExpr(
-        *place, "lvl", "_c.band", "_c.col"
-    )
+    search = level.selectExpr(*place, "lvl", of_level(lambda r: grid.around_sql("lat", "lon", r))).selectExpr(*place, "lvl", "_c.band", "_c.col")
     dist = grid.distance(F.col("lat"), F.col("lon"), F.col("l_lat"), F.col("l_lon"))
-    if layer.rows * factor > BROADCAST_ROWS:  # only copies in cells that are searched go to the join
-        spread = spread.join(search.select(*keys).distinct(), keys, "left_semi")
     best = (
-        search.join(layer.sized(spread, factor), keys)
+        search.join(placed, keys)
         .withColumn("dist", dist)
         .where(F.col("dist") <= limit)
         .groupBy("lat", "lon", *by)
@@ -256,35 +259,21 @@ def in_bounding_box(df: DataFrame, lat: str, lon: str, south: float, west: float
     return df.where(F.col(lat).between(south, north) & F.col(lon).between(west, east))
 
 
-def _polygon_pairs(points: DataFrame, polygons: Layer, radius_m: float) -> DataFrame:
-    """Points × polygons whose box comes within the radius (before any exact test)."""
-    left = _in_cell(points, geo.cell_sql("lat", "lon", radius_m))
-    around = geo.cells_around_sql("lat_min", "lat_max", "lon_min", "lon_max", radius_m)
-    right = _in_cell(polygons.df, f"explode({around})")
-    return left.join(polygons.sized(right, 30), ["_band", "_col"]).drop("_band", "_col")
-
-
-def containing(points: DataFrame, polygons: Layer, cell_m: float = 2_000.0) -> DataFrame:
-    """(point, polygon) for every polygon that holds the point."""
-    boxed = (
-        (F.col("lat") >= F.col("lat_min")) & (F.col("lat") <= F.col("lat_max"))
-        & (F.col("lon") >= F.col("lon_min")) & (F.col("lon") <= F.col("lon_max"))
-    )
-    return _polygon_pairs(points, polygons, cell_m).where(boxed).where(
-        geo.inside_area(F.col("lat"), F.col("lon"), F.col("ring"), _holes(polygons.df))
-    )
+def containing(points: DataFrame, layer: PolygonLayer) -> DataFrame:
+    """(point, polygon's columns) for every polygon that holds the point."""
+    return polygons.pairs_inside(points, layer).join(layer.attributes, "_poly").drop("_poly", "_area", "_centre")
 
 
-def inside_any(points: DataFrame, polygons: Layer, name: str) -> DataFrame:
-    hit = containing(points, polygons).select("lat", "lon").distinct().withColumn(name, F.lit(True))
+def inside_any(points: DataFrame, layer: PolygonLayer, name: str) -> DataFrame:
+    hit = polygons.pairs_inside(points, layer).select("lat", "lon").distinct().withColumn(name, F.lit(True))
     return points.select("lat", "lon").join(hit, ["lat", "lon"], "left").withColumn(
         name, F.coalesce(F.col(name), F.lit(False))
     )
 
 
-def area_attributes(points: DataFrame, polygons: Layer, polygon_id: str, columns: list[str]) -> DataFrame:
+def area_attributes(points: DataFrame, layer: PolygonLayer, polygon_id: str, columns: list[str]) -> DataFrame:
     """Attributes of the containing polygon; the lowest id where polygons overlap."""
-    first = containing(points, polygons).groupBy("lat", "lon").agg(
+    first = containing(points, layer).groupBy("lat", "lon").agg(
         F.min(F.struct(polygon_id, *columns)).alias("_a")
     )
     return points.select("lat", "lon").join(first, ["lat", "lon"], "left").select(
@@ -292,47 +281,40 @@ def area_attributes(points: DataFrame, polygons: Layer, polygon_id: str, columns
     )
 
 
-def polygon_distance(points: DataFrame, polygons: Layer, name: str, limit_m: float = NEAREST_LIMIT_M) -> DataFrame:
+def polygon_distance(points: DataFrame, layer: PolygonLayer, name: str, limit_m: float = NEAREST_LIMIT_M) -> DataFrame:
     """Distance to the nearest polygon, 0 inside, null beyond the limit.
 
     Searched at a tenth of the limit first; only points without a hit go on.
     """
-    dist = geo.area_distance_m(F.col("lat"), F.col("lon"), F.col("ring"), _holes(polygons.df))
+    places = points.select("lat", "lon")
+    inside = polygons.pairs_inside(places, layer).select("lat", "lon").distinct().withColumn(name, F.lit(0.0))
 
-    def search(pts: DataFrame, radius: float) -> DataFrame:
-        return (
-            _polygon_pairs(pts, polygons, radius)
-            .withColumn("_d", dist).where(F.col("_d") <= radius)
-            .groupBy("lat", "lon").agg(F.min("_d").alias(name))
-        )
+    def search(some: DataFrame, radius: float) -> DataFrame:
+        return polygons.edge_distances(some, layer, radius).groupBy("lat", "lon").agg(F.min("_d").alias(name))
 
-    close = materialize(search(points.select("lat", "lon"), limit_m / 10))
-    rest = points.select("lat", "lon").join(close, ["lat", "lon"], "left_anti")
-    return points.select("lat", "lon").join(close.unionByName(search(rest, limit_m)), ["lat", "lon"], "left")
+    known = materialize(inside)
+    outside = materialize(places.join(known, ["lat", "lon"], "left_anti"))
+    close = materialize(search(outside, limit_m / 10))
+    rest = outside.join(close, ["lat", "lon"], "left_anti")
+    return places.join(known.unionByName(close).unionByName(search(rest, limit_m)), ["lat", "lon"], "left")
 
 
-def polygon_area_within(points: DataFrame, polygons: Layer, radius_m: float, name: str) -> DataFrame:
+def polygon_area_within(points: DataFrame, layer: PolygonLayer, radius_m: float, name: str) -> DataFrame:
     """Whole area of every polygon that touches the circle; 0 when none does."""
-    near = _polygon_pairs(points, polygons, radius_m).where(
-        geo.area_distance_m(F.col("lat"), F.col("lon"), F.col("ring"), _holes(polygons.df)) <= radius_m
-    )
-    total = near.groupBy("lat", "lon").agg(F.sum(geo.area_sqm(F.col("ring"), _holes(polygons.df))).alias(name))
+    near = polygons.pairs_touching(points, layer, radius_m).join(layer.attributes.select("_poly", "_area"), "_poly")
+    total = near.groupBy("lat", "lon").agg(F.sum("_area").alias(name))
     return points.select("lat", "lon").join(total, ["lat", "lon"], "left").withColumn(
         name, F.coalesce(F.col(name), F.lit(0.0))
     )
 
 
-def match_footprints(points: DataFrame, footprints: Layer, radius_m: float = 50.0) -> DataFrame:
+def match_footprints(points: DataFrame, footprints: PolygonLayer, radius_m: float = 50.0) -> DataFrame:
     """The footprint of a point: largest within reach, then nearest centroid, then lowest id."""
-    centre = geo.ring_centroid(F.col("ring"))
-    near = (
-        _polygon_pairs(points, footprints, radius_m)
-        .where(geo.area_distance_m(F.col("lat"), F.col("lon"), F.col("ring"), _holes(footprints.df)) <= radius_m)
-        .withColumns({"area_sqm": geo.area_sqm(F.col("ring"), _holes(footprints.df)), "_c": centre})
-        .withColumn("_d", geo.haversine_m(F.col("lat"), F.col("lon"), F.col("_c.lat"), F.col("_c.lon")))
-    )
+    known = footprints.attributes.select("_poly", "footprint_id", F.col("_area").alias("area_sqm"), F.col("_centre.lat").alias("_y"), F.col("_centre.lon").alias("_x"))
+    near = polygons.pairs_touching(points, footprints, radius_m).join(known, "_poly")
+    away = F.round(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("_y"), F.col("_x")), 3)
     best = near.groupBy("lat", "lon").agg(
-        F.min(F.struct((-F.round("area_sqm", 3)).alias("neg"), F.round("_d", 3).alias("d"), "footprint_id", "area_sqm")).alias("_b")
+        F.min(F.struct((-F.round("area_sqm", 3)).alias("neg"), away.alias("d"), "footprint_id", "area_sqm")).alias("_b")
     )
     return points.select("lat", "lon").join(best, ["lat", "lon"], "left").select(
         "lat", "lon", F.col("_b.footprint_id").alias("footprint_id"),
