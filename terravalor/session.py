@@ -56,11 +56,26 @@ def session_dir(spark: SparkSession) -> str:
     return os.path.join(shared_dir(spark), f"terravalor-{spark.sparkContext.applicationId}")
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files and folders of a folder, sorted; none if it isn't there."""
+    fs, at = _file_system(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table this session wrote; call it when its results are stored elsewhere."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(session_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    fs, at = _file_system(spark, session_dir(spark))
+    fs.delete(at, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -256,8 +256,30 @@ def test_stream_replay_changes_nothing(spark, t):
     want = ingest.upsert_listings(rows.where(F.col("sold_date") < "1999-01-01"), rows.where(F.col("sold_date") >= "1999-01-01"))
     got = store.latest().select(*want.columns)
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
-    packed = store.compact(landing_path(spark, "packed")).latest().select(*want.columns)
-    assert packed.exceptAll(want).count() == 0
+    store.log.fold(1)
+    assert store.log.folded() == 1 and store.latest().select(*want.columns).exceptAll(want).count() == 0
+    store.upsert(rows.where(F.col("sold_date") < "1999-01-01"), 0)  # a replay of what is folded already
+    assert store.latest().select(*want.columns).exceptAll(want).count() == 0
+
+
+def test_log_folds_keep_the_newest_and_the_first_seen(spark):
+    """Many small batches: the same table with and without folds, and a fold that broke off isn't read."""
+    cols = "mls_number string, sold_price long, first_seen_date date"
+    import datetime as dt
+
+    def fill(fold_every):
+        probe = spark.createDataFrame([], cols)
+        store = jobs.ListingStore(spark, landing_path(spark, "folds"), probe.schema, fold_every)
+        for b in range(7):
+            rows = [(f"R{i}", 100 * b + i, dt.date(2024, 1, 1 + (b * 3) % 7)) for i in range(b, b + 4)]
+            store.log.put(spark.createDataFrame(rows, cols), b)
+        return store
+
+    plain, folded = fill(1 << 40), fill(3)
+    assert plain.log.folded() == -1 and folded.log.folded() == 5
+    spark.range(1).write.parquet(f"{folded.log.root}/folded/upto=9/half")  # no _SUCCESS at its top
+    assert folded.log.folded() == 5 and folded.log.rows().where("batch < 0").count() == 0
+    assert sorted(map(tuple, plain.latest().collect())) == sorted(map(tuple, folded.latest().collect()))
 
 
 def test_late_rows(spark):
