@@ -141,7 +141,7 @@ def completeness(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def completeness_summary(rows: DataFrame) -> DataFrame:
-    """Over all rows: mean, median, extremes, complete rows, rows with more than half missing."""
+    """Over all rows: mean, median, extremes, complete rows."""
     tagged = rows.withColumn("all_rows", F.lit("all"))
     stats = tagged.groupBy("all_rows").agg(
         F.count(F.lit(1)).alias("rows"), F.avg("completeness_pct").alias("mean_pct"), F.min("completeness_pct").alias("min_pct"),
@@ -151,6 +151,16 @@ def completeness_summary(rows: DataFrame) -> DataFrame:
     return stats.join(mids, "all_rows").drop("all_rows")
 
 
+def column_completeness(df: DataFrame, columns: list[str]) -> DataFrame:
+    """How many of the columns are full, and how many are null in over half of the rows; one scan."""
+    filled = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in columns])
+    number = lambda test: reduce(lambda a, b: a + b, [F.when(test(F.col(c)), 1).otherwise(0) for c in columns])
+    return filled.select(
+        F.lit(len(columns)).alias("total_features"), number(lambda n: n == F.col("_rows")).alias("fully_populated_features"),
+        number(lambda n: 2 * n < F.col("_rows")).alias("features_over_50pct_null"),
+    )
+
+
 def fill_audit(df: DataFrame, columns: list[str]) -> DataFrame:
     """Filled and total rows per column, from one scan."""
     counts = df.agg(F.count(F.lit(1)).alias("total"), *[F.count(c).alias(c) for c in columns])

@@ -403,16 +403,16 @@ def daily_kpis(listings: DataFrame, day: str = "sold_date") -> DataFrame:
     return stats.join(mids, day)
 
 
-def region_stats(listings: DataFrame, active: DataFrame, region: str = "sub_area") -> DataFrame:
-    """Sold figures per region with the sales-to-active ratio."""
+def region_stats(listings: DataFrame, active: DataFrame, region: str = "sub_area", original: str = "original_price") -> DataFrame:
+    """Sold figures per region, change against the original list price, mean list price of active listings and the sales-to-active ratio."""
+    asked = F.when(F.col(original) > 0, F.col(original))
     sold = listings.groupBy(region).agg(
         F.count(F.lit(1)).alias("sold_count"),
         F.avg("sold_price").alias("avg_sold"),
-        F.avg("list_price").alias("avg_list"),
-        F.avg(change(F.col("sold_price"), F.col("list_price")) * 100).alias("avg_change_pct"),
+        F.avg(change(F.col("sold_price"), asked) * 100).alias("avg_change_pct"),
     )
     mids = exact_percentiles(listings, [region], "sold_price", {"median_sold": UPPER_MEDIAN}).drop("n")
-    live = active.groupBy(region).agg(F.count(F.lit(1)).alias("active_count"))
+    live = active.groupBy(region).agg(F.count(F.lit(1)).alias("active_count"), F.avg(F.when(F.col("list_price") > 0, F.col("list_price"))).alias("avg_list"))
     return (
         sold.join(mids, region).join(live, region, "left")
         .withColumn("active_count", F.coalesce("active_count", F.lit(0)))
@@ -423,6 +423,13 @@ def region_stats(listings: DataFrame, active: DataFrame, region: str = "sub_area
     )
 
 
+def newly_seen_sales(listings: DataFrame, day: str, days: int = 7) -> DataFrame:
+    """Listings first seen on a day that were sold no more than some days before it, dearest first."""
+    on = F.to_date(F.lit(day))
+    fresh = listings.where((F.col("first_seen_date") == on) & (F.col("sold_date") >= F.date_sub(on, days)))
+    return fresh.orderBy(F.col("sold_price").desc(), "mls_number")
+
+
 def store_stats(listings: DataFrame) -> DataFrame:
     """Listing store figures in total, by type and by sub-area."""
     stacked = with_sets(

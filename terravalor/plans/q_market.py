@@ -284,36 +284,47 @@ def p32(t):
 @query(
     "p36_recent_sales",
     """SELECT mls_number, sold_date, sold_price FROM o_sold
-       WHERE sold_date BETWEEN DATE '2001-06-01' - 7 AND DATE '2001-06-01'""",
+       WHERE sold_date + CAST(dom % 12 AS INT) = DATE '2001-06-01' AND sold_date >= DATE '2001-06-01' - 7""",
 )
 def p36(t):
+    """Listings first seen on the day, up to eleven days after their sale, whose sale is no more than a week old."""
     from terravalor.functions.dates import parse_date
 
     layouts = F.array(
         F.date_format("sold_date", "M/d/yyyy"), F.date_format("sold_date", "yyyy-MM-dd"),
         F.date_format("sold_date", "M/d/yy"), F.date_format("sold_date", "MMMM d, yyyy"),
     )
-    text = t.sold.withColumn("sold_text", F.element_at(layouts, F.col("dom") % 4 + 1))
-    day = F.to_date(F.lit("2001-06-01"))
-    return text.withColumn("sold_date", parse_date(F.col("sold_text"))).where(
-        F.col("sold_date").between(F.date_sub(day, 7), day)
-    ).select("mls_number", "sold_date", "sold_price")
+    seen = F.date_add("sold_date", (F.col("dom") % 12).cast("int"))
+    text = t.sold.withColumns({"first_seen_date": seen, "sold_text": F.element_at(layouts, F.col("dom") % 4 + 1)})
+    parsed = text.withColumn("sold_date", parse_date(F.col("sold_text")))
+    return market.newly_seen_sales(parsed, "2001-06-01").select("mls_number", "sold_date", "sold_price")
+
+
+_SCORED = """n AS (SELECT *, lower(title || ' ' || summary) AS body FROM px_news),
+       s AS (SELECT *, least((""" + " + ".join(
+    f"CASE WHEN contains(body, '{w}') THEN 1 ELSE 0 END" for w in K.NEWS_KEYWORDS
+) + """) / 3.0, 1.0) AS score FROM n WHERE published_day IS NULL OR published_day >= 20240115)"""
 
 
 @query(
     "p38_t06_headlines",
-    """WITH n AS (SELECT *, lower(title || ' ' || summary) AS body FROM px_news),
-       s AS (SELECT *, least((""" + " + ".join(
-        f"CASE WHEN contains(body, '{w}') THEN 1 ELSE 0 END" for w in K.NEWS_KEYWORDS
-    ) + """) / 3.0, 1.0) AS score FROM n),
-       r AS (SELECT *, row_number() OVER (PARTITION BY feed_name ORDER BY score DESC, doc_id) AS rn FROM s
-         WHERE published_day IS NULL OR published_day >= 20240115)
-       SELECT doc_id, feed_name, round(score, 4) AS relevance_score FROM r WHERE rn <= 20""",
+    f"""WITH {_SCORED},
+       r AS (SELECT *, row_number() OVER (PARTITION BY feed_name ORDER BY score DESC, published_day NULLS FIRST, doc_id) AS rn FROM s WHERE score >= 0.3)
+       SELECT doc_id, feed_name, published_day, round(score, 4) AS relevance_score FROM r WHERE rn <= 20""",
 )
 def p38(t):
-    articles = news.score_articles(t("px_news"))
-    fresh = articles.where(F.col("published_day").isNull() | (F.col("published_day") >= 20240115))
-    return rounded(news.top_per_feed(fresh, 20).select("doc_id", "feed_name", "relevance_score"))
+    fresh = news.headlines(news.score_articles(t("px_news")), 20240115)
+    return rounded(news.top_per_feed(fresh, 20).select("doc_id", "feed_name", "published_day", "relevance_score"))
+
+
+@query(
+    "t06_news_of_all_feeds",
+    f"""WITH {_SCORED} SELECT doc_id, feed_name, published_day, round(score, 4) AS relevance_score FROM s ORDER BY score DESC, published_day NULLS FIRST, doc_id LIMIT 50""",
+)
+def t06(t):
+    """The first fifty articles of all feeds by relevance, then date."""
+    fresh = news.headlines(news.score_articles(t("px_news")), 20240115, minimum=0.0)
+    return rounded(fresh.orderBy(*news.by_relevance()).limit(50).select("doc_id", "feed_name", "published_day", "relevance_score"))
 
 
 @query(
@@ -408,15 +419,16 @@ def a08(t):
 
 @query(
     "a09_region_stats",
-    """WITH act AS (SELECT sub_area, count(*) AS active_count FROM px_sold WHERE dom > 30 GROUP BY 1)
-       SELECT sub_area, count(*) AS sold_count, round(avg(sold_price), 2) AS avg_sold, round(avg(list_price), 2) AS avg_list,
-         round(avg((sold_price - list_price) / list_price * 100), 4) AS avg_change_pct,
+    """WITH act AS (SELECT sub_area, count(*) AS active_count, avg(list_price) AS al FROM px_sold WHERE dom > 30 GROUP BY 1)
+       SELECT sub_area, count(*) AS sold_count, round(avg(sold_price), 2) AS avg_sold, round(any_value(al), 2) AS avg_list,
+         round(avg((sold_price - (list_price + 1000 * (dom % 3))) / (list_price + 1000 * (dom % 3)) * 100), 4) AS avg_change_pct,
          list_sort(list(sold_price))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median_sold, any_value(active_count) AS active_count,
          round(count(*) / any_value(active_count) * 100, 4) AS sales_to_active_pct
        FROM o_sold JOIN act USING (sub_area) GROUP BY 1""",
 )
 def a09(t):
-    out = market.region_stats(t.sold, t("px_sold").where("dom > 30"))
+    sold = t.sold.withColumn("original_price", F.col("list_price") + 1000 * (F.col("dom") % 3))  # some were cut before the sale
+    out = market.region_stats(sold, t("px_sold").where("dom > 30"))
     return out.select(
         "sub_area", "sold_count", F.round("avg_sold", 2).alias("avg_sold"), F.round("avg_list", 2).alias("avg_list"),
         F.round("avg_change_pct", 4).alias("avg_change_pct"), "median_sold", "active_count",

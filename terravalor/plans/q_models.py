@@ -120,6 +120,16 @@ def t07_segments(t):
     return errors.select("scope", "n_samples", "mean_ape").orderBy(F.col("mean_ape").desc(), "scope").limit(5)
 
 
+@query(
+    "t07_worst_areas",
+    f"""SELECT scope, n_samples, mean_ape FROM ({METRICS_SQL}) q WHERE scope LIKE 'area:%' ORDER BY mean_ape DESC, scope LIMIT 5""",
+)
+def t07_areas(t):
+    """The five areas of the largest mean error in the backtest."""
+    errors = _rounded_metrics(models.metrics(backtest(t))).where("scope LIKE 'area:%'")
+    return errors.select("scope", "n_samples", "mean_ape").orderBy(F.col("mean_ape").desc(), "scope").limit(5)
+
+
 @query(
     "m15_j18_benchmark",
     """WITH e AS (SELECT abs(v - predicted) / v * 100 AS m, abs(v - naive) / v * 100 AS b FROM o_bt)

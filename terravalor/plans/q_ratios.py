@@ -91,6 +91,23 @@ def a05(t):
     return rounded(market.ratio_table(ratio_rows(t)), 6)
 
 
+@query(
+    "x16_ratio_with_model",
+    """SELECT p.pid, round(p.total_assessed_value * (0.70 * (CASE WHEN l.n >= 5 THEN l.median_ratio
+           WHEN l.n >= 2 THEN 0.5 * l.median_ratio + 0.5 * coalesce(c.median_ratio, 1) ELSE coalesce(c.median_ratio, 1) END)
+         + 0.30 * least(greatest(0.4 + (CAST(pid AS BIGINT) % 17) * 0.1, 0.6), 1.8)), 1) AS market_estimate
+       FROM (SELECT *, CASE WHEN property_type = 'duplex' THEN 'detached' ELSE property_type END AS rt FROM o_properties) p
+       LEFT JOIN o_ratio_table l ON l.area = p.neighbourhood_code AND l.property_type = p.rt
+       LEFT JOIN o_ratio_table c ON c.area = '_all' AND c.property_type = p.rt
+       WHERE l.n IS NOT NULL OR c.n IS NOT NULL""",
+)
+def x16m(t):
+    """The same with a model's ratio taking thirty percent, after its limits."""
+    model = F.lit(0.4) + (F.col("pid").cast("long") % 17) * F.lit(0.1)
+    out = comps.ratio_estimate(t.properties, market.ratio_table(ratio_rows(t)), model)
+    return rounded(out.select("pid", "market_estimate"), 1)
+
+
 @query(
     "x16_ratio_estimate",
     """SELECT p.pid, round(p.total_assessed_value * CASE WHEN l.n >= 5 THEN l.median_ratio

@@ -170,3 +170,19 @@ def p35(t):
     v, k = F.col("total_assessed_value"), F.col("pid").cast("long")
     i = rules.sane_interval(v * (F.lit(0.7) + k % 5 * F.lit(0.1)), v * (F.lit(0.9) + k % 7 * F.lit(0.1)), v)
     return rounded(t.universe.select("pid", i["lower"].alias("lower"), i["upper"].alias("upper")), 2)
+
+
+@query(
+    "p35_rescaled_interval",
+    """WITH x AS (SELECT pid, total_assessed_value AS v, total_assessed_value * (0.8 + CAST(pid AS BIGINT) % 6 * 0.1) AS p,
+           total_assessed_value * (0.75 + CAST(pid AS BIGINT) % 5 * 0.05) AS lo, total_assessed_value * (0.97 + CAST(pid AS BIGINT) % 7 * 0.05) AS hi FROM o_universe WHERE total_assessed_value > 0),
+       y AS (SELECT pid, p, lo * (p / v) AS lo, hi * (p / v) AS hi FROM x),
+       z AS (SELECT *, lo <= 0 OR hi <= 0 OR lo > p OR hi < p OR (hi - lo) / p * 100 < 5 AS bad FROM y)
+       SELECT pid, round(CASE WHEN bad THEN p * 0.85 ELSE lo END, 0) AS lower, round(CASE WHEN bad THEN p * 1.15 ELSE hi END, 0) AS upper FROM z""",
+)
+def p35r(t):
+    """Intervals moved to another headline figure; reset where they miss it or are too narrow."""
+    v, k = F.col("total_assessed_value"), F.col("pid").cast("long")
+    primary = v * (F.lit(0.8) + k % 6 * F.lit(0.1))
+    i = rules.rescaled_interval(v * (F.lit(0.75) + k % 5 * F.lit(0.05)), v * (F.lit(0.97) + k % 7 * F.lit(0.05)), v, primary)
+    return rounded(t.universe.where(v > 0).select("pid", i["lower"].alias("lower"), i["upper"].alias("upper")), 0)

@@ -245,16 +245,3 @@ def q07(t):
     from terravalor.plans.value import value_requests
 
     return rounded(value_requests(t), 2)
-
-
-@query(
-    "t07_worst_areas",
-    """SELECT neighbourhood_code, round(avg(abs(yoy_change_pct)), 6) AS mean_abs_change FROM o_properties WHERE yoy_change_pct IS NOT NULL GROUP BY 1
-       ORDER BY mean_abs_change DESC, neighbourhood_code LIMIT 5""",
-)
-def t07(t):
-    return (
-        t.properties.where("yoy_change_pct IS NOT NULL").groupBy("neighbourhood_code")
-        .agg(F.round(F.avg(F.abs("yoy_change_pct")), 6).alias("mean_abs_change"))
-        .orderBy(F.col("mean_abs_change").desc(), "neighbourhood_code").limit(5)
-    )

@@ -174,6 +174,17 @@ def a20b(t):
     return rounded(features.completeness_summary(features.completeness(t.universe, list(_COMPLETE))))
 
 
+@query(
+    "a20_column_completeness",
+    """WITH c AS (SELECT count(*) AS n, count(maint_fee) AS a, count(bathrooms) AS b, count(year_built) AS c, count(sold_price) AS d, count(CASE WHEN bedrooms > 3 THEN 1 END) AS e FROM o_sold)
+       SELECT 5 AS total_features, (a = n)::INT + (b = n)::INT + (c = n)::INT + (d = n)::INT + (e = n)::INT AS fully_populated_features,
+         (2 * a < n)::INT + (2 * b < n)::INT + (2 * c < n)::INT + (2 * d < n)::INT + (2 * e < n)::INT AS features_over_50pct_null FROM c""",
+)
+def a20c(t):
+    rows = t.sold.withColumn("many_bedrooms", F.when(F.col("bedrooms") > 3, 1))
+    return features.column_completeness(rows, ["maint_fee", "bathrooms", "year_built", "sold_price", "many_bedrooms"])
+
+
 @query(
     "s18_first_present_columns",
     "SELECT poi_id, price AS str_price, lat AS latitude FROM px_poi",
