@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terravalor import constants as K
 from terravalor.functions import geo
-from terravalor.operators import match, spatial
+from terravalor.operators import layers, match, spatial
 from terravalor.plans.proxies import ORACLE_ONLY
 from terravalor.plans.registry import query, rounded
 
@@ -154,6 +155,39 @@ def g09(t):
     return spatial.area_attributes(t.locations, polygons, "area_id", ["area_name", "median_income"])
 
 
+_KNOWN = "(VALUES " + ", ".join(f"('{c}', '{n}')" for c, n in K.AREA_NAMES.items()) + ") k(code, name)"
+#: The names of areas as people write them: in other case, with more around, cut short, and of no known area.
+_WRITTEN = """CASE pkey % 6 WHEN 0 THEN name WHEN 1 THEN '  ' || lower(name) || ' ' WHEN 2 THEN 'Upper ' || name || ' Village' WHEN 3 THEN substr(name, 1, 6)
+  WHEN 4 THEN 'Nowhere ' || CAST(pkey % 9 AS STRING) ELSE upper(name) END"""
+
+
+@query(
+    "g09_area_code_of_name",
+    f"""WITH w AS (SELECT DISTINCT {_WRITTEN} AS said FROM px_property JOIN {_KNOWN} ON code = neighbourhood_code),
+       m AS (SELECT said, code, name, upper(name) = upper(trim(said)) AS same FROM w, {_KNOWN}
+             WHERE contains(upper(name), upper(trim(said))) OR contains(upper(trim(said)), upper(name))),
+       r AS (SELECT *, row_number() OVER (PARTITION BY said ORDER BY same DESC, length(name) DESC, code) AS rn FROM m)
+       SELECT w.said AS written, r.code, r.name FROM w LEFT JOIN r ON r.said = w.said AND rn = 1""",
+)
+def g09n(t):
+    """Area codes of written names: equal, else one within the other."""
+    known = t.spark.createDataFrame(list(K.AREA_NAMES.items()), "neighbourhood_code string, name string")
+    written = t("px_property").join(F.broadcast(known), "neighbourhood_code").selectExpr(f"{_WRITTEN} AS written").distinct()
+    found = layers.area_code_of(F.col("written"))
+    return written.select("written", found["code"].alias("code"), found["name"].alias("name"))
+
+
+@query(
+    "s17_j16_census_by_area",
+    "SELECT pid, k.name AS area_name, " + ", ".join(f"v{i} AS {c}" for i, c in enumerate(layers.CENSUS_COLUMNS)) + " FROM o_universe u LEFT JOIN (VALUES "
+    + ", ".join(f"('{c}', '{n}', " + ", ".join(f"{float(x)!r}::DOUBLE" for x in K.CENSUS_BY_AREA[n]) + ")" for c, n in K.AREA_NAMES.items())
+    + ") k(code, name, " + ", ".join(f"v{i}" for i in range(len(layers.CENSUS_COLUMNS))) + ") ON k.code = u.neighbourhood_code",
+)
+def s17(t):
+    """Census figures of every property's area."""
+    return layers.join_census(t.universe).select("pid", "area_name", *layers.CENSUS_COLUMNS)
+
+
 @query(
     "g10_g12_fixed_point_distance",
     f"""SELECT lat, lon, round({hav('lat', 'lon', '49.2827', '-123.1207')}, 3) AS dist_downtown_m,
