@@ -185,7 +185,8 @@ def comparable_properties(subjects: DataFrame, props: DataFrame, k: int = 5) ->
     """The k most similar properties per subject under progressive widening.
 
     Tiers: same type within 2 km; same type within 5 km; any type within 5 km.
-    The first tier with at least k properties decides, else the last.
+    The first tier with at least k properties decides, else the last. A subject
+    without a point is compared within its area (see ``area_comparables``).
 
     A few seeds per cell, type and value step give each subject an upper bound
     on its k-th best score. Only candidates whose distance and value alone could
@@ -242,7 +243,64 @@ def comparable_properties(subjects: DataFrame, props: DataFrame, k: int = 5) ->
     dense_best = _top_k(add_similarity(close).where(F.col("similarity_score") <= F.col("_u") + SCORE_SLACK), k).withColumn("tier", F.lit(1))
 
     sparse = subj.join(bound, "s_pid", "left_anti")
-    return dense_best.unionByName(_widening_search(sparse, cand, k))
+    placed = dense_best.unionByName(_widening_search(sparse, cand, k))
+    pointless = subjects.where(F.col("latitude").isNull() | F.col("longitude").isNull())
+    return placed if "neighbourhood_code" not in subjects.columns else placed.unionByName(area_comparables(pointless, props, k))
+
+
+def area_comparables(subjects: DataFrame, props: DataFrame, k: int = 5) -> DataFrame:
+    """The k most similar properties of a subject's area, for subjects without a point; ``dist_m`` is null and costs nothing.
+
+    The same type where the area has k others of it (tier 1), else any type (tier 3). Seeds per
+    value step bound a subject's k-th best score, so only a band of values is searched.
+    """
+    area = F.col("neighbourhood_code").alias("area")
+    profile = ("area", "value", "year_built", "zone", "property_type")
+    base = props.where(F.col("neighbourhood_code").isNotNull()).select(
+        "pid", area, F.col("total_assessed_value").alias("value"), "year_built", F.col("zoning_district").alias("zone"), "property_type"
+    )
+    none = F.lit(None).cast("double")
+    cand = materialize(collapse(base, profile, "pid", k + 1).select(
+        "area", F.col("pid").alias("c_pid"), none.alias("c_lat"), none.alias("c_lon"), F.col("value").alias("c_value"),
+        F.col("year_built").alias("c_year_built"), zone_parts(F.col("zone")).alias("c_zone"), F.col("property_type").alias("c_type"), "weight",
+    ))
+    subj = subjects.where(F.col("neighbourhood_code").isNotNull()).select(
+        area, F.col("pid").alias("s_pid"), none.alias("s_lat"), none.alias("s_lon"), F.col("total_assessed_value").alias("s_value"),
+        F.col("year_built").alias("s_year_built"), zone_parts(F.col("zoning_district")).alias("s_zone"), F.col("property_type").alias("s_type"),
+    )
+    others = cand.groupBy("area", F.col("c_type").alias("s_type")).agg(F.sum("weight").alias("_n"))
+    counted = materialize(subj.join(small_side(others), ["area", "s_type"], "left"))
+    enough = F.coalesce(F.col("_n"), F.lit(0)) - 1 >= k  # the subject is one of them
+    alike, mixed = counted.where(enough).drop("_n"), counted.where(~enough).drop("_n")
+    first = _area_top(alike.withColumn("_type", F.col("s_type")), cand.withColumn("_type", F.col("c_type")), ["area", "_type"], k).withColumn("tier", F.lit(1))
+    return first.unionByName(_area_top(mixed, cand, ["area"], k).withColumn("tier", F.lit(3)))
+
+
+def _area_top(subj: DataFrame, cand: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k best of the candidates that share the keys; exact, by a bound from seeds."""
+    weights = K.ASSESSMENT_WEIGHTS
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return add_similarity(pairs.where(F.col("s_pid") != F.col("c_pid")).withColumn("dist_m", F.lit(0.0)))
+
+    keyed = cand.selectExpr("*", f"explode(array({_value_step('c_value')}, -999L)) AS _v")
+    w = Window.partitionBy(*keys, "_v").orderBy("c_pid")
+    seeds = keyed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k + 1).drop("_rn")
+    step = _value_step("s_value")
+    probes = subj.selectExpr("*", f"explode(array({step} - 1, {step}, {step} + 1, -999L)) AS _v")
+    once = scored(probes.join(seeds, [*keys, "_v"])).select("s_pid", "c_pid", "similarity_score").distinct()
+    w = Window.partitionBy("s_pid").orderBy("similarity_score", "c_pid")
+    bound = once.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).groupBy("s_pid").agg(
+        F.max("similarity_score").alias("_u"), F.count(F.lit(1)).alias("_seeds")
+    )
+    # Fewer than k seeds are all there is: then every candidate is one of the best.
+    slack = F.when(F.col("_seeds") >= k, F.col("_u") - F.lit(weights["recency"] * 0.5) + SCORE_SLACK).otherwise(F.lit(1.0))
+    bounded = materialize(subj.join(bound, "s_pid").withColumns({"_open": slack >= weights["value_similarity"], "_band": slack / weights["value_similarity"] * LN2 + 1e-9}))
+    lo = f"CAST(floor((ln(greatest(s_value, 1D)) - _band) / {VALUE_STEP}D) AS BIGINT)"
+    hi = f"CAST(floor((ln(greatest(s_value, 1D)) + _band) / {VALUE_STEP}D) AS BIGINT)"
+    reached = bounded.selectExpr("*", f"explode(CASE WHEN _open THEN array(-999L) ELSE sequence({lo}, {hi}) END) AS _v")
+    found = scored(reached.join(keyed, [*keys, "_v"]))
+    return _top_k(found, k).withColumn("dist_m", F.lit(None).cast("double"))
 
 
 def _widening_search(subj: DataFrame, cand: DataFrame, k: int) -> DataFrame:
@@ -280,7 +338,7 @@ def adjusted_comparables(comps: DataFrame) -> DataFrame:
     def centre(side: str) -> Column:
         return geo.haversine_m(F.col(f"{side}_lat"), F.col(f"{side}_lon"), F.lit(K.CBD[0]), F.lit(K.CBD[1]))
 
-    nearer = (centre("c") - centre("s")) / 1_000.0
+    nearer = F.coalesce((centre("c") - centre("s")) / 1_000.0, F.lit(0.0))  # unknown without a point
     place = F.least(F.greatest(1.0 + nearer * 0.02, F.lit(0.85)), F.lit(1.15))
     return comps.withColumn("adjusted_value", F.greatest(F.col("c_value") * age * place, F.lit(0.0)))
 
@@ -345,7 +403,8 @@ def comparable_sales(
     """Best k sales per subject in the first step that finds three.
 
     Subjects: subject_id, neighbourhood_code, s_type, s_value, s_lat, s_lon, s_area,
-    s_year, s_beds, s_baths. ``areas``: (neighbourhood_code, sub_area, own).
+    s_year, s_beds, s_baths; what is null of type, value and point limits nothing.
+    ``areas``: (neighbourhood_code, sub_area, own).
     Steps relax time and sub-area only: own 60 d, own 120 d, adjacent 120 d,
     adjacent 180 d, any 365 d, then a fallback type. Each step is a flag on one
     candidate row, so the join is made once. Sales alike in everything that is
@@ -358,20 +417,19 @@ def comparable_sales(
     for kind, other in K.TYPE_FALLBACKS.items():
         fallback = F.when(F.col("s_type") == kind, other).otherwise(fallback)
     subj = subjects.withColumn("_other", fallback if type_fallback else F.lit(None).cast("string"))
+    placed = cand.selectExpr("*", f"{geo.cell_sql('c_lat', 'c_lon', SALE_RADIUS_M)} AS _c", f"{step.format('c_value')} AS _v")
+    whole = F.col("s_lat").isNotNull() & F.col("s_lon").isNotNull() & F.col("s_value").isNotNull() & F.col("s_type").isNotNull()
     cells = geo.cells_around_sql("s_lat", "s_lat", "s_lon", "s_lon", SALE_RADIUS_M)
     v = step.format("s_value")
     probes = (
-        subj.selectExpr("*", f"explode({cells}) AS _c")
+        subj.where(whole).selectExpr("*", f"explode({cells}) AS _c")
         .selectExpr("*", f"explode(sequence({v} - 1, {v} + 1)) AS _v")
         .selectExpr("*", "explode(array_compact(array(s_type, _other))) AS c_type")
     )
-    placed = cand.selectExpr("*", f"{geo.cell_sql('c_lat', 'c_lon', SALE_RADIUS_M)} AS _c", f"{step.format('c_value')} AS _v")
-    dist = geo.haversine_m(F.col("s_lat"), F.col("s_lon"), F.col("c_lat"), F.col("c_lon"))
-    pairs = (
-        probes.join(placed, ["c_type", "_c", "_v"])
-        .where(F.col("c_value").between(F.col("s_value") * (1 - SALE_BAND), F.col("s_value") * (1 + SALE_BAND)))
-        .withColumn("dist_m", dist).where(F.col("dist_m") <= SALE_RADIUS_M)
-    )
+    pairs = _eligible(probes.join(placed, ["c_type", "_c", "_v"])).drop("_c", "_v")
+    part = materialize(subj.where(~whole))
+    if not part.isEmpty():
+        pairs = materialize(pairs.unionByName(_partial_pairs(part, placed, areas, cells, v)))
     near = areas.select("neighbourhood_code", "sub_area", "own", F.lit(True).alias("adjacent"))
     has = areas.groupBy("neighbourhood_code").agg(F.max("own").alias("_has_own"), F.lit(True).alias("_has_adj"))
     flagged = (
@@ -379,7 +437,7 @@ def comparable_sales(
         .join(has, "neighbourhood_code", "left")
         .withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("own", "adjacent", "_has_own", "_has_adj")})
     )
-    age, same = F.col("days_ago"), F.col("c_type") == F.col("s_type")
+    age, same = F.col("days_ago"), F.col("s_type").isNull() | (F.col("c_type") == F.col("s_type"))
     in_scope = F.when(F.col("_has_adj"), F.col("adjacent")).when(F.col("_has_own"), F.col("own")).otherwise(True)
     steps = [
         same & F.col("own") & (age <= days), same & F.col("own") & (age <= 120), same & F.col("adjacent") & (age <= 120),
@@ -399,10 +457,38 @@ def comparable_sales(
     return (
         scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         .withColumn("step", F.col("_step") + 1)
-        .drop("steps", "_c", "_v", "_step", "own", "adjacent", "_has_own", "_has_adj", "_other", "weight")
+        .drop("steps", "_step", "own", "adjacent", "_has_own", "_has_adj", "_other", "weight")
     )
 
 
+def _eligible(pairs: DataFrame) -> DataFrame:
+    """Pairs within the value band and the radius, as far as the subject's value and place are known."""
+    dist = geo.haversine_m(F.col("s_lat"), F.col("s_lon"), F.col("c_lat"), F.col("c_lon"))
+    valued = F.col("s_value").isNull() | F.col("c_value").between(F.col("s_value") * (1 - SALE_BAND), F.col("s_value") * (1 + SALE_BAND))
+    return pairs.where(valued).withColumn("dist_m", F.coalesce(dist, F.lit(0.0))).where(F.col("dist_m") <= SALE_RADIUS_M)
+
+
+def _partial_pairs(subj: DataFrame, placed: DataFrame, areas: DataFrame, cells: str, step: str) -> DataFrame:
+    """Pairs of subjects that lack a point, a value or a type: what is unknown doesn't limit.
+
+    The sub-areas of the subject's area come first; only a subject with too few sales there, so
+    that a step without sub-areas may be its own, is joined by whatever else is known of it.
+    """
+    typed = F.col("s_type").isNull() | F.col("c_type").eqNullSafe(F.col("s_type")) | F.col("c_type").eqNullSafe(F.col("_other"))
+    local = subj.join(areas.select("neighbourhood_code", "sub_area").distinct(), "neighbourhood_code").join(placed, "sub_area").where(typed)
+    local = materialize(_eligible(local).drop("_c", "_v"))
+    served = local.where((F.col("days_ago") <= 180) & (F.col("s_type").isNull() | (F.col("c_type") == F.col("s_type")))).groupBy("subject_id").agg(F.sum("weight").alias("_n"))
+    rest = materialize(subj.join(served.where(F.col("_n") >= WANTED), "subject_id", "left_anti"))
+    kinds = rest.selectExpr("*", f"explode(CASE WHEN s_type IS NULL THEN array({', '.join(repr(k) for k in K.RESIDENTIAL_TYPES)}) ELSE array_compact(array(s_type, _other)) END) AS c_type")
+    here, worth = F.col("s_lat").isNotNull() & F.col("s_lon").isNotNull(), F.col("s_value").isNotNull()
+    by_cell = kinds.where(here).selectExpr("*", f"explode({cells}) AS _c").join(placed, ["c_type", "_c"])
+    by_value = kinds.where(~here & worth).selectExpr("*", f"explode(sequence({step} - 1, {step} + 1)) AS _v").join(placed, ["c_type", "_v"])
+    by_type = kinds.where(~here & ~worth).join(placed, "c_type")
+    wide = [_eligible(d).drop("_c", "_v") for d in (by_cell, by_value, by_type)]
+    found = wide[0].unionByName(wide[1]).unionByName(wide[2])
+    return local.join(rest.select("subject_id"), "subject_id", "left_anti").unionByName(found)
+
+
 def sale_score() -> Column:
     """Dissimilarity of a sale: distance, area, year, beds, baths, value, recency."""
     s, c = F.col, F.col
