@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terravalor import constants as K
 from terravalor.functions.quantiles import exact_percentiles, medians
 from terravalor.functions.text import clean_pid
-from terravalor.operators import match, spatial
+from terravalor.operators import gram_index, match, spatial
 from terravalor.session import fixed_table, materialize, small_side
 
 # Coordinates a request may carry.
@@ -49,22 +49,11 @@ def _ranked(df: DataFrame, keys: list[str], order: list[Column], k: int, name: s
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
-def search_pid(queries: DataFrame, props: DataFrame, limit: int = 10) -> DataFrame:
-    """Properties whose number contains the fragment: an equi-join on its substrings.
-
-    Numbers are cut into pieces of every length that is asked for, at every position. Each piece
-    keeps ``limit`` properties before the join, so a short fragment never pulls in the whole
-    table. An empty fragment finds nothing.
-    """
-    wanted = queries.select("query", F.regexp_replace("query", "[- ]", "").alias("fragment")).where("fragment <> ''").distinct()
-    lengths = wanted.agg(F.sort_array(F.collect_set(F.length("fragment"))).alias("n")).first()["n"]  # as many as fragment lengths
-    pieces = F.array()
-    if lengths:
-        cut = lambda n: F.when(F.length("pid") >= n, F.transform(F.sequence(F.lit(1), F.length("pid") - n + 1), lambda i: F.substring(F.col("pid"), i, n)))
-        pieces = F.flatten(F.transform(F.array(*[F.lit(n) for n in lengths]), lambda n: F.coalesce(cut(n), F.array().cast("array<string>"))))
-    index = props.select("pid", F.explode(F.array_distinct(pieces.cast("array<string>"))).alias("fragment"))
-    index = _ranked(index, ["fragment"], [F.col("pid")], limit)
-    return wanted.join(index, "fragment").select("query", "pid", "rank")
+def search_pid(queries: DataFrame, index: gram_index.GramIndex, limit: int = 10) -> DataFrame:
+    """The first properties whose number contains the fragment, from the index of their numbers; an empty fragment finds nothing."""
+    wanted = queries.select("query", F.regexp_replace("query", "[- ]", "").alias("fragment")).distinct()
+    found = gram_index.search(wanted, index, limit).withColumnRenamed("key", "pid")
+    return wanted.join(found, "fragment").select("query", "pid", "rank")
 
 
 def search_address(queries: DataFrame, props: DataFrame, limit: int = 10) -> DataFrame:

@@ -40,7 +40,18 @@ def q01(t):
          FROM q JOIN o_properties p ON contains(p.pid, q.query)) r WHERE rank <= 10""",
 )
 def q02(t):
-    return serve.search_pid(t("px_search").select(F.col("pid_query").alias("query")), t.properties)
+    return serve.search_pid(t("px_search").select(F.col("pid_query").alias("query")), t.pid_index)
+
+
+@query(
+    "q02_fragments_of_all_lengths",
+    """WITH q AS (SELECT DISTINCT substr(pid, CAST(1 + CAST(pid AS BIGINT) % 5 AS INT), CAST(1 + CAST(pid AS BIGINT) % 8 AS INT)) AS query FROM o_properties)
+       SELECT query, pid, rank FROM (SELECT query, pid, row_number() OVER (PARTITION BY query ORDER BY pid) AS rank FROM q JOIN o_properties p ON contains(p.pid, q.query)) r WHERE rank <= 10""",
+)
+def q02f(t):
+    """Every property's number searched by a piece of it, of one to eight digits."""
+    asked = t.properties.select(F.expr("substr(pid, 1 + CAST(pid AS BIGINT) % 5, 1 + CAST(pid AS BIGINT) % 8)").alias("query"))
+    return serve.search_pid(asked, t.pid_index)
 
 
 @query(

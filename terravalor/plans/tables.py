@@ -65,6 +65,13 @@ class Tables:
 
         return materialize(universe.mark_duplex(universe.fix_inclusive_zone(self.universe)))
 
+    @cached_property
+    def pid_index(self):
+        """Property numbers by their pieces, written once."""
+        from terravalor.operators import gram_index
+
+        return gram_index.build(self.properties, "pid")
+
     @cached_property
     def sold(self) -> DataFrame:
         from terravalor.operators import ingest

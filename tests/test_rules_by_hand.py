@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from terravalor.functions import dates, text
+from terravalor.operators import comps, features, gram_index, ingest, match, rates, rules, structure, universe
 from terravalor.session import landing_path
-from terravalor.operators import comps, features, ingest, match, rates, rules, structure, universe
 
 
 def one(spark, rows, schema, *columns):
@@ -167,7 +167,7 @@ def test_search_finds_streets_and_lots_without_number_and_long_fragments(spark):
     found = {(r.query, r.pid, r.kind) for r in serve.search_address(ask("PINE", "7 OAK", "7 ELM", "9 elm", "elm"), lots(spark)).collect()}
     assert ("PINE", "12345678901", "street") in found and ("7 OAK", "000000002", "street") in found and ("7 ELM", "000000003", "exact") in found
     assert ("9 elm", "000000003", "nearest") in found and {p for q, p, _ in found if q == "elm"} == {"000000003", "000000004", "000000005"}
-    pids = {(r.query, r.pid) for r in serve.search_pid(ask("8901", "3", "12345678901", ""), lots(spark)).collect()}
+    pids = {(r.query, r.pid) for r in serve.search_pid(ask("8901", "3", "12345678901", ""), gram_index.build(lots(spark), "pid")).collect()}
     assert {("8901", "12345678901"), ("12345678901", "12345678901"), ("3", "000000003"), ("3", "12345678901")} == pids
 
 
@@ -263,3 +263,19 @@ def test_micro_neighbourhoods_end_at_rest(spark):
         by_blob.setdefault(int(r.pid) % 3, set()).add(r.cluster)
     assert all(len(c) == 1 for c in by_blob.values()) and len({c for s in by_blob.values() for c in s}) == 3
     assert len(centres.first().centres) == 3
+
+
+@pytest.mark.parametrize("limit", [3, 50])
+def test_fragments_are_found_as_by_looking_at_every_key(spark, limit):
+    """Keys of all lengths, hot pieces, fragments of one piece and of many."""
+    import random
+
+    dice = random.Random(3)
+    keys = {"".join(dice.choices("0012", k=dice.choice([1, 2, 3, 7, 9]))) for _ in range(400)} | {"000000000", "9"}
+    asked = {"0", "00", "000", "0000", "2", "12", "210", "0120", "99", "9", "333", "0" * 9, "0" * 10, ""} | {k[i : i + 5] for k in list(keys)[:40] for i in (0, 2)}
+    index = gram_index.build(spark.createDataFrame([(k,) for k in keys] + [(None,), ("",)], "key string"), "key", head=5)
+    got: dict = {}
+    for r in gram_index.search(spark.createDataFrame([(a,) for a in asked], "fragment string"), index, limit).collect():
+        got.setdefault(r.fragment, []).append((r["rank"], r.key))
+    want = {a: list(enumerate(sorted(k for k in keys if a in k)[:limit], 1)) for a in asked if a and any(a in k for k in keys)}
+    assert {a: sorted(v) for a, v in got.items()} == want
