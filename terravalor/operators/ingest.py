@@ -90,8 +90,23 @@ def price_difference(df: DataFrame) -> DataFrame:
     )
 
 
+# Headers of the export files and what their columns become.
+EXPORT_NUMBERS = {
+    "days_on_mls": "Days On MLS", "bathrooms": "Tot Baths", "age": "Age", "parking": "TotalPrkng", "kitchens": "#Kitchens", "photos": "PicCount",
+}
+EXPORT_AMOUNTS = {"frontage_ft": "Frontage - Feet", "depth_ft": "Depth"}
+EXPORT_TEXTS = {
+    "list_date": "List Date", "postal_code": "Postal Code", "zoning": "Zoning", "view": "View - Specify", "locker": "Locker", "bylaw_restrictions": "Bylaw Restrictions",
+    "style": "Style of Home", "photo_url": "Pics",
+}
+
+
 def clean_listing_export(raw: DataFrame) -> DataFrame:
-    """Text columns of one export file to typed listing rows; rows without number drop out."""
+    """Text columns of one export file to typed listing rows; rows without number drop out.
+
+    A column that the file lacks is null, as is an empty text; strata and lot columns come from
+    whichever format has them.
+    """
     fmt = detect_format(raw.columns)
 
     def text(name: str) -> Column:
@@ -100,6 +115,9 @@ def clean_listing_export(raw: DataFrame) -> DataFrame:
     def whole(name: str) -> Column:
         return whole_amount(F.col(f"`{name}`")) if name in raw.columns else F.lit(None).cast("bigint")
 
+    def money(name: str) -> Column:
+        return amount(F.col(f"`{name}`")) if name in raw.columns else F.lit(None).cast("double")
+
     area_name = F.lit(None).cast("string")
     lookup = F.create_map(*[F.lit(x) for kv in K.SUB_AREAS.items() for x in kv])
     if "S/A" in raw.columns:
@@ -111,7 +129,7 @@ def clean_listing_export(raw: DataFrame) -> DataFrame:
         text("S/A").alias("sub_area"),
         area_name.alias("sub_area_name"),
         side_of_city(text("S/A")).alias("side"),
-        whole("Sold Price").alias("sold_price"),
+        F.coalesce(whole("Sold Price"), whole("Price")).alias("sold_price"),
         whole("List Price").alias("list_price"),
         text("Sold Date").alias("sold_date"),
         whole("DOM").cast("int").alias("dom"),
@@ -119,7 +137,10 @@ def clean_listing_export(raw: DataFrame) -> DataFrame:
         whole("TotFlArea").cast("int").alias("floor_area"),
         whole("Yr Blt").cast("int").alias("year_built"),
         text("TypeDwel").alias("property_type"),
-        (amount(F.col("MaintFee")) if "MaintFee" in raw.columns else F.lit(None).cast("double")).alias("maint_fee"),
+        money("MaintFee").alias("maint_fee"),
+        *[whole(h).cast("int").alias(c) for c, h in EXPORT_NUMBERS.items()],
+        *[money(h).alias(c) for c, h in EXPORT_AMOUNTS.items()],
+        *[F.nullif(text(h), F.lit("")).alias(c) for c, h in EXPORT_TEXTS.items()],
         F.lit(fmt).alias("source_format"),
     ).where(F.col("mls_number") != "")
     return price_difference(listing)

@@ -139,12 +139,13 @@ def p41(t):
 
 @query(
     "j26_request_overrides",
-    """SELECT r.request_id, coalesce(r.bedrooms_override, 2) AS bedrooms, round(coalesce(r.area_override, x.lot_size_sqft / 3), 6) AS living_area_sqft
-       FROM px_request r JOIN o_properties p USING (pid) JOIN px_property x ON x.pid = r.pid""",
+    """SELECT r.request_id, coalesce(r.bedrooms_override, CASE WHEN x.pid IS NOT NULL THEN 2 END) AS bedrooms, round(coalesce(r.area_override, x.lot_size_sqft / 3), 6) AS living_area_sqft
+       FROM px_request r LEFT JOIN o_properties p ON p.pid = r.pid LEFT JOIN px_property x ON x.pid = p.pid""",
 )
 def j26(t):
     lots = t("px_property").select("pid", (F.col("lot_size_sqft") / 3).alias("living_area_sqft"), F.lit(2).alias("bedrooms"))
-    rows = t("px_request").join(t.properties.select("pid"), "pid").join(lots, "pid")
+    # A request whose property isn't known keeps what it says itself.
+    rows = t("px_request").join(lots.join(t.properties.select("pid"), "pid", "left_semi"), "pid", "left")
     out = serve.with_overrides(rows, {"bedrooms": "bedrooms_override", "living_area_sqft": "area_override"})
     return out.select("request_id", "bedrooms", F.round("living_area_sqft", 6).alias("living_area_sqft"))
 
@@ -179,6 +180,16 @@ def q09(t):
     return serve.freshness(t.sold, "sold_date", "2001-12-31")
 
 
+@query(
+    "q09_assessment_freshness",
+    "SELECT make_date(max(tax_assessment_year) - 1, 7, 1) AS latest, count(*) AS rows, CAST(DATE '2026-03-15' - make_date(max(tax_assessment_year) - 1, 7, 1) AS INT) AS staleness_days FROM o_universe",
+)
+def q09a(t):
+    """How old the assessments are: they stand for July of the year before their roll."""
+    valued = t.universe.withColumn("assessed_on", F.make_date(F.col("tax_assessment_year") - 1, F.lit(7), F.lit(1)))
+    return serve.freshness(valued, "assessed_on", "2026-03-15")
+
+
 @query(
     "q10_t10_report_areas",
     """SELECT sub_area, count(*) AS count, round(median(ratio), 6) AS median_ratio FROM o_matched WHERE ratio IS NOT NULL GROUP BY 1 ORDER BY count DESC, sub_area LIMIT 20""",

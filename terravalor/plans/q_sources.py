@@ -67,6 +67,37 @@ def s06(t):
     )
 
 
+@query(
+    "s06_export_columns",
+    """SELECT mls_number, sold_price, dom + 2 AS days_on_mls, coalesce(bathrooms, 1) AS bathrooms, CASE WHEN dom % 2 = 0 THEN 2030 - year_built END AS age,
+         CASE WHEN dom % 2 = 0 THEN dom % 4 END AS parking, CASE WHEN dom % 2 = 1 THEN 1 + dom % 3 END AS kitchens, CASE WHEN dom % 2 = 1 THEN dom + 0.5 END AS frontage_ft,
+         CASE WHEN dom % 2 = 1 THEN 100.0 + dom END AS depth_ft, strftime(sold_date, '%Y') AS list_date, CASE WHEN dom % 3 <> 0 THEN 'V5K ' || sub_area END AS postal_code,
+         CASE WHEN dom % 2 = 0 THEN 'Yes' END AS locker, CASE WHEN dom % 2 = 1 THEN '2 Storey' END AS style, CASE WHEN dom % 2 = 0 THEN 'attached' ELSE 'detached' END AS source_format FROM o_sold""",
+)
+def s06c(t):
+    """All columns of attached and detached exports, each file by its own header, the price under either name."""
+    path = landing_path(t.spark, "exports")
+    text = lambda c: F.col(c).cast("string")
+    dom = F.col("dom")
+    shared = {
+        "ML #": F.concat(F.lit(" "), F.col("mls_number")), "Status": F.lit("F"), "Address": F.col("address"), "S/A": F.col("sub_area"), "DOM": text("dom"),
+        "Days On MLS": (dom + 2).cast("string"), "Tot Baths": F.coalesce(F.col("bathrooms"), F.lit(1)).cast("string"), "List Date": F.date_format("sold_date", "yyyy"),
+        "Postal Code": F.when(dom % 3 != 0, F.concat(F.lit("V5K "), F.col("sub_area"))).otherwise(""),
+    }
+    attached = {"Sold Price": F.format_number("sold_price", 0), "Age": (2030 - F.col("year_built")).cast("string"), "TotalPrkng": (dom % 4).cast("string"), "Locker": F.lit("Yes"), "MaintFee": F.lit("$1")}
+    detached = {
+        "Price": F.concat(F.lit("$"), F.format_number("sold_price", 0)), "#Kitchens": (1 + dom % 3).cast("string"), "Frontage - Feet": (dom + F.lit(0.5)).cast("string"),
+        "Depth": F.concat((dom + 100).cast("string"), F.lit(".0")), "Style of Home": F.lit("2 Storey"),
+    }
+    for own, odd in ((attached, 0), (detached, 1)):
+        columns = {**shared, **own}
+        t.sold.where(dom % 2 == odd).select(*[e.alias(n) for n, e in columns.items()]).write.mode("append").option("header", True).csv(path)
+    out = ingest.clean_listing_exports(readers.read_listing_exports(t.spark, path))
+    return out.select(
+        "mls_number", "sold_price", "days_on_mls", "bathrooms", "age", "parking", "kitchens", "frontage_ft", "depth_ft", "list_date", "postal_code", "locker", "style", "source_format"
+    )
+
+
 @query(
     "s07_s23_gtfs_tables",
     """SELECT DISTINCT st.stop_id, r.route_id, r.route_type FROM px_stop_times st JOIN px_trips tr ON st.trip_id = tr.trip_id JOIN px_routes r ON tr.route_id = r.route_id""",
