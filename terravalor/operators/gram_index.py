@@ -1,8 +1,9 @@
 """A written index of the pieces of keys, for searches by fragment.
 
 Every key is cut into grams of a few characters; the postings (gram, key) lie in
-a folder a gram, so a search reads only the grams it asks for. A fragment is
-looked up by its rarest gram and verified. The index is as long as the keys.
+folders by a hash of the gram, ordered by gram, so a search reads little beside
+the grams it asks for. A fragment is looked up by its rarest gram and verified.
+The index is as long as the keys.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 
 from terravalor.session import landing_path, materialize
 
-#: Characters of a gram, and keys that the head of a gram holds.
+#: Characters of a gram, keys that the head of a gram holds, and folders.
 SIZE = 3
 HEAD = 100
+FOLDERS = 32
 
 
 def grams_of(key: Column, size: int = SIZE) -> Column:
@@ -37,8 +39,17 @@ class GramIndex:
     head: int
 
     def postings(self, grams: list[str]) -> DataFrame:
-        """Keys of some grams: only their folders are read."""
-        return self.spark.read.schema("key string, gram string").parquet(self.path).where(F.col("gram").isin(grams))
+        """Keys of some grams: only their folders are read, and of those only row groups that may hold them."""
+        folders = [r[0] for r in self.spark.createDataFrame([(g,) for g in grams], "gram string").select(_folder()).distinct().collect()] if grams else []
+        return _written(self.spark, self.path).where(F.col("folder").isin(folders) & F.col("gram").isin(grams)).drop("folder")
+
+
+def _folder() -> Column:
+    return F.pmod(F.xxhash64("gram"), F.lit(FOLDERS)).cast("int")
+
+
+def _written(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("key string, gram string, folder int").parquet(path)
 
 
 def build(keys: DataFrame, key: str, size: int = SIZE, head: int = HEAD) -> GramIndex:
@@ -46,8 +57,9 @@ def build(keys: DataFrame, key: str, size: int = SIZE, head: int = HEAD) -> Gram
     spark, path = keys.sparkSession, landing_path(keys.sparkSession, "grams")
     each = keys.where(F.length(key) > 0).select(F.col(key).alias("key")).distinct().select("key", F.explode(grams_of(F.col("key"), size)).alias("gram"))
     # A hot gram is split over several files of its folder.
-    each.hint("rebalance", "gram").write.partitionBy("gram").parquet(path)
-    written = spark.read.schema("key string, gram string").parquet(path)
+    placed = each.withColumn("folder", _folder()).hint("rebalance", "folder").sortWithinPartitions("folder", "gram")
+    placed.write.partitionBy("folder").parquet(path)
+    written = _written(spark, path)
     first = written.withColumn("place", F.row_number().over(Window.partitionBy("gram").orderBy("key"))).where(F.col("place") <= head)
     return GramIndex(spark, path, materialize(written.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))), materialize(first.select("gram", "key")), size, head)
 
