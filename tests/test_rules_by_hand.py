@@ -248,7 +248,7 @@ def test_a_point_in_a_hole_is_outside(spark, tmp_path):
     assert inside == {0.02: False, 0.005: True, 0.05: False}
     away = {r.lat: r.d for r in spatial.polygon_distance(points, layer, "d").collect()}
     assert away[0.005] == 0 and abs(away[0.02] - 0.01 * 111_195) < 5
-    area = spatial.drop_degenerate(layer.df).first().area_sqm
+    area = spatial.drop_degenerate(layer.base).first().area_sqm
     assert abs(area / (0.0012 * 111_195**2) - 1) < 0.001
 
 
