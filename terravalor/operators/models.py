@@ -163,6 +163,10 @@ def spatial_folds(df: DataFrame, folds: int = 5) -> DataFrame:
 # ---- micro-neighbourhoods -----------------------------------------------------------------------
 
 
+#: Rounds after which centres that still move are an error; they rest after some tens.
+MOST_ROUNDS = 1_000
+
+
 def micro_neighbourhoods(df: DataFrame, features: list[str], k: int = 3, min_size: int = 50, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
     """(properties with cluster, centres): k-means of all areas at once.
 
@@ -197,12 +201,16 @@ def micro_neighbourhoods(df: DataFrame, features: list[str], k: int = 3, min_siz
     def way(old: DataFrame, new: DataFrame) -> float:
         """The farthest that a centre moved; a cluster that came or went counts as far."""
         pair = old.select("neighbourhood_code", F.col("centres").alias("_old")).join(new, "neighbourhood_code")
-        step = F.array_max(F.zip_with("_old", "centres", lambda a, b: F.coalesce(F.sqrt(squared_distance(a["c"], b["c"])), F.lit(float("inf")))))
-        return pair.agg(F.max(step)).first()[0] or 0.0
+        before_of = lambda e: F.get(F.filter("_old", lambda o: o["cluster"] == e["cluster"]), F.lit(0))["c"]
+        steps = F.transform("centres", lambda e: F.coalesce(F.sqrt(squared_distance(before_of(e), e["c"])), F.lit(float("inf"))))
+        gone = F.exists("_old", lambda o: ~F.exists("centres", lambda e: e["cluster"] == o["cluster"]))
+        return pair.agg(F.max(F.when(gone, F.lit(float("inf"))).otherwise(F.array_max(steps)))).first()[0] or 0.0
 
-    centres, moved = centres_of(start), float("inf")
+    centres, moved, rounds = centres_of(start), float("inf"), 0
     while moved > tolerance:
-        before, centres = centres, centres_of(assign(centres))
+        if rounds == MOST_ROUNDS:
+            raise RuntimeError(f"centres still moved by {moved} after {MOST_ROUNDS} rounds")
+        before, centres, rounds = centres, centres_of(assign(centres)), rounds + 1
         moved = way(before, centres)
     label = F.concat_ws("_", "neighbourhood_code", "cluster")
     done = assign(centres).select("pid", "neighbourhood_code", "cluster", label.alias("micro_neighbourhood"))

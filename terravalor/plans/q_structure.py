@@ -115,7 +115,21 @@ def p15(t):
     return features.add_proxies(t.properties.join(lots, "pid")).select("pid", "construction_type", "bedrooms", "bedrooms_imputed")
 
 
-@query("p18_registry_counts")
+def _filled(feature: str, filled: str, *kinds: str) -> str:
+    return f"SELECT property_type, count(*) AS rows, '{feature}' AS feature, count({filled}) AS filled FROM p WHERE property_type IN ({', '.join(repr(k) for k in kinds)}) GROUP BY 1"
+
+
+_THREE = ("condo", "townhome", "detached")
+
+
+@query(
+    "p18_registry_counts",
+    "WITH p AS (SELECT p.*, x.lot_size_sqft FROM o_properties p LEFT JOIN px_property x USING (pid)) "
+    + " UNION ALL ".join([
+        *[_filled(c, c, *_THREE) for c in ("effective_age", "latitude", "longitude", "year_built")], _filled("building_age_bucket", "effective_age", "condo", "townhome"),
+        _filled("land_to_total_ratio", "CASE WHEN total_assessed_value > 0 THEN current_land_value END", "detached"), _filled("lot_size_sqft", "lot_size_sqft", "detached", "townhome"),
+    ]),
+)
 def p18(t):
     """Registry features that the enriched table holds, with their filled rows per property type."""
     props = features.add_derived_features(footprint_rows(t))
