@@ -98,6 +98,15 @@ def small_side(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
+def by_keys(df: DataFrame) -> DataFrame:
+    """The side of a join on cells that is hashed, a shuffled partition at a time.
+
+    The other side's rows were copied by ``explode``. Spark estimates both by the compressed files they
+    were read from and doesn't count the copies, so without a hint it may broadcast either.
+    """
+    return df.hint("shuffle_hash")
+
+
 def fixed_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A constant reference table of the library, safe to broadcast: its size is fixed."""
     return F.broadcast(spark.createDataFrame(rows, schema))

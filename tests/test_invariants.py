@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import statistics
 
 import pytest
@@ -222,6 +223,15 @@ def test_comparables_equal_brute_force_with_a_hot_lot(t):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_no_copied_side_is_broadcast(t):
+    """Exploded probes have many times the rows that Spark estimates from their file."""
+    props = t.properties.limit(200)
+    for rows in (props, props.withColumns({c: F.lit(None).cast("double") for c in ("latitude", "longitude")})):
+        plan = plan_of(comps.comparable_properties(rows, props, 5))
+        joins = [line for line in plan.splitlines() if "Join [" in line and re.search(r"\b_[cv]#", line)]
+        assert joins and not [line for line in joins if "BroadcastHashJoin" in line]
+
+
 def test_duplex_and_panel(t):
     lots = t.properties.where("property_type = 'duplex'").groupBy("to_civic_number", "street_name").count()
     assert lots.where("count < 2").count() == 0
