@@ -330,3 +330,10 @@ def test_sale_steps_count_collapsed_copies(spark):
     out = comps.comparable_sales(subject, sales, areas, "2001-10-01", k=10).orderBy("rank").collect()
     assert [r.mls_number for r in out] == ["R0100"] + [f"R{i:04d}" for i in range(9)]
     assert {r.step for r in out} == {1} and isinstance(out[0].dist_m, float) and T is not None
+
+
+def test_sale_pairs_are_cut_before_they_are_shuffled(spark):
+    """Each task keeps the best pairs of a subject: below the shuffle by subject lies a group limit."""
+    scored = spark.range(1000).selectExpr("CAST(id % 5 AS STRING) AS subject_id", "id AS _cand", "CAST(id AS STRING) AS mls_number", "id * 0.5D AS score")
+    plan = comps._best_sales(scored, 3)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning\(subject_id.*\n.*WindowGroupLimit", plan)
