@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terravalor.operators import market, universe
 from terravalor.plans.registry import query, rounded
-from terravalor.session import landing_path
+from terravalor.session import by_keys, landing_path
 
 
 @query(
@@ -309,7 +309,7 @@ def t09(t):
        FROM px_panel r JOIN o_universe u USING (pid)""",
 )
 def j12(t):
-    codes = t.universe.select("pid", "neighbourhood_code")
+    codes = by_keys(t.universe.select("pid", "neighbourhood_code"))  # a panel has a row for every year of a property
     return t("px_panel").select("pid", "tax_assessment_year", "legal_type").join(codes, "pid").select(
         "pid", "tax_assessment_year", "neighbourhood_code", market.assessment_class(F.col("legal_type")).alias("property_type")
     )
