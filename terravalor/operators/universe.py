@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terravalor import constants as K
 from terravalor.functions.numbers import change, ratio, starts_with_any
 from terravalor.functions.text import clean_pid, number_or_null, number_or_zero, upper_key
+from terravalor.operators.match import let
 
 VALUE_COLUMNS = (
     "current_land_value", "current_improvement_value", "previous_land_value",
@@ -58,9 +59,16 @@ def latest_per_pid(df: DataFrame) -> DataFrame:
 
 
 def classify(zoning: Column, legal: Column) -> Column:
-    """Property type from zoning prefix and legal type; the first rule that fits wins."""
+    """Property type from zoning prefix and legal type; the first rule that fits wins.
+
+    Both are worked out once: the rules name them some forty times, and a filter on the type repeats whatever they are made of.
+    """
     zone = F.coalesce(F.upper(F.trim(zoning)), F.lit(""))
     strata = F.coalesce(F.upper(F.trim(legal)), F.lit("")) == "STRATA"
+    return let(F.struct(zone.alias("zone"), strata.alias("strata")), lambda known: _type_of(known["zone"], known["strata"]))
+
+
+def _type_of(zone: Column, strata: Column) -> Column:
     condo_or_land = F.when(strata, K.CONDO).otherwise(K.DEVELOPMENT_LAND)
     industrial = zone.isin(*K.INDUSTRIAL_ZONES) | starts_with_any(
         zone, tuple(z + " " for z in K.INDUSTRIAL_ZONES)

@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravalor.plans.proxies import PROXIES
+from terravalor.session import spread
 
 BASE = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
+#: Narrow tables with a row a key that the views widen and copy; a file of them is a split or two, however many rows it holds.
+SPREAD = {"part": "p_partkey", "customer": "c_custkey"}
+
 _SERIES = re.compile(r"@SERIES\((-?\d+),\s*(-?\d+)\)@")
 
 
@@ -36,7 +40,8 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         if name not in self._known:
             if name in BASE:
-                self._known[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._known[name] = spread(table, SPREAD[name]) if name in SPREAD else table
             else:
                 self._known[name] = self._view(PROXIES[name])
         return self._known[name]
@@ -92,4 +97,4 @@ class Tables:
         from terravalor.operators import spatial
         from terravalor.session import materialize
 
-        return materialize(spatial.distinct_points(self.universe))
+        return materialize(spread(spatial.distinct_points(self.universe), "lat", "lon"))

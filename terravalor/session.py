@@ -98,6 +98,16 @@ def small_side(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt to all cores, for work that costs more than the bytes it reads.
+
+    A compressed file of a million rows may be one split, and Spark merges a small summary into one
+    task: whatever is computed from either would stay there. The number of parts is given, so they
+    aren't merged again, and rows are dealt by hash, so a task that runs again deals the same.
+    """
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, F.xxhash64(*keys))
+
+
 def by_keys(df: DataFrame) -> DataFrame:
     """The side of a join on cells that is hashed, a shuffled partition at a time.
 
