@@ -102,11 +102,12 @@ def backtest_lines(panel: DataFrame, test_year: int, minimum: int = 200) -> Data
 
 
 def metrics(predictions: DataFrame, actual: str = "total_assessed_value", predicted: str = "predicted", minimum: int = 5) -> DataFrame:
-    """Errors overall, by type, by area and by segment, from one stacked pass."""
+    """Errors overall, by type, by area and by segment, from predictions that are worked out once and stacked."""
     y, p = F.col("_y"), F.col("_p")
-    valid = predictions.where((F.col(actual) > 0) & F.col(predicted).isNotNull()).select(
+    # Read several times below: the predictions' joins run once.
+    valid = materialize(predictions.where((F.col(actual) > 0) & F.col(predicted).isNotNull()).select(
         F.col(actual).alias("_y"), F.col(predicted).alias("_p"), "property_type", "neighbourhood_code", "segment_used"
-    )
+    ))
     stacked = valid.select(
         "_y", "_p",
         F.explode(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from terravalor.operators.universe import classify
 from terravalor.plans.tables import Tables
 
@@ -19,6 +20,11 @@ def test_rows_of_one_split_are_dealt_to_all_cores(spark, sf):
     assert parts(t("px_panel")) >= 4 and parts(t.locations) >= 4
 
 
+def test_backtest_is_not_repeated_for_each_figure(spark, sf):
+    plan = entry.queries()["t07_worst_segments"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_brand" not in plan
+
+
 def test_a_filter_on_the_type_reads_the_zone_once(spark):
     rows = spark.range(10).select(F.concat(F.lit("rs-"), F.col("id")).alias("z"), F.lit("LAND").alias("l"))
     kept = rows.withColumn("kind", classify(F.col("z"), F.col("l"))).where("kind = 'detached'")
