@@ -9,6 +9,7 @@ join. Layers are written, so Spark knows their size and broadcasts only small on
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from terravalor.functions import geo
 from terravalor.functions.quantiles import exact_percentiles
 from terravalor.operators import polygons
 from terravalor.operators.polygons import PolygonLayer
-from terravalor.session import materialize
+from terravalor.session import materialize, small_side, spread
 
 WHOLE_EARTH_DEG = 402.5  # the longest way between two points in degrees
 NEAREST_LIMIT_M = 10_000.0
@@ -102,7 +103,8 @@ def point_layer(df: DataFrame, lat: str, lon: str, aggs: dict[str, Column] | Non
     keys = [F.col(lat).alias("l_lat"), F.col(lon).alias("l_lon"), *[F.col(b) for b in by or []]]
     columns = [F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in (aggs or {}).items()]]
     present = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    return as_layer(present.groupBy(*keys).agg(*columns))
+    made = present.groupBy(*keys).agg(*columns)
+    return as_layer(spread(made, "l_lat", "l_lon", *(by or [])))
 
 
 # ---- cell join --------------------------------------------------------------------------
@@ -121,6 +123,25 @@ def pairs_within(points: DataFrame, layer: Layer, radius_m: float, by: list[str]
     return joined.withColumn("dist_m", dist).where(F.col("dist_m") <= radius_m).drop("_band", "_col")
 
 
+def nearest_within(points: DataFrame, layer: Layer, k: int, reach_m: float, tie: str) -> DataFrame:
+    """The pairs of ``pairs_within`` of each point's k nearest layer rows, ties to the lower ``tie``.
+
+    Circles grow fourfold; a point that has k rows in one goes no further, so a crowded place isn't
+    met with all that lies within the reach.
+    """
+    w = Window.partitionBy("lat", "lon").orderBy(F.round("dist_m", 6), tie)
+    left, out = points.select("lat", "lon"), []
+    for radius in (reach_m / 16, reach_m / 4, reach_m):
+        best = materialize(pairs_within(left, layer, radius).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn"))
+        if radius == reach_m:
+            return reduce(DataFrame.unionByName, [*out, best])
+        # A row beyond the circle may tie with one on its edge, by rounding: the k lie clearly within it.
+        full = best.where(F.col("dist_m") < radius - 0.001).groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k)
+        full = small_side(full.select("lat", "lon"))
+        out.append(best.join(full, ["lat", "lon"], "left_semi"))
+        left = materialize(spread(left.join(full, ["lat", "lon"], "left_anti"), "lat", "lon"))
+
+
 def aggregate_within(points: DataFrame, layer: Layer, radius_m: float, aggs: dict[str, Column]) -> DataFrame:
     """Aggregates over layer locations within the radius; points without any keep nulls."""
     found = pairs_within(points, layer, radius_m).groupBy("lat", "lon").agg(*[c.alias(n) for n, c in aggs.items()])
@@ -438,10 +459,7 @@ def attach(props: DataFrame, features: DataFrame) -> DataFrame:
 def school_proximity(points: DataFrame, schools: DataFrame, k: int = 10, reach_m: float = 3_000.0) -> DataFrame:
     """Score from the nearest school's distance and the quality of the k nearest."""
     layer = point_layer(schools, "lat", "lon", {"q": F.avg("school_score")}, by=["school_id"])
-    pairs = pairs_within(points, layer, reach_m)
-    w = Window.partitionBy("lat", "lon").orderBy(F.round("dist_m", 6), "school_id")
-    nearest_k = pairs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
-    stats = nearest_k.groupBy("lat", "lon").agg(
+    stats = nearest_within(points, layer, k, reach_m, "school_id").groupBy("lat", "lon").agg(
         F.min("dist_m").alias("nearest_school_m"),
         F.count_if(F.col("dist_m") <= 1_000).alias("schools_within_1km"),
         F.count_if(F.col("dist_m") <= 2_000).alias("schools_within_2km"),

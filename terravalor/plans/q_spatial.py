@@ -40,9 +40,9 @@ def zones(t, name):
 
 
 def request_points(t):
-    from terravalor.session import materialize
+    from terravalor.session import materialize, spread
 
-    return materialize(t("px_request").select(F.col("req_lat").alias("lat"), F.col("req_lon").alias("lon")).distinct())
+    return materialize(spread(t("px_request").select(F.col("req_lat").alias("lat"), F.col("req_lon").alias("lon")).distinct(), "lat", "lon"))
 
 
 @query(
