@@ -143,8 +143,9 @@ def j04(t):
     """SELECT mls_number, sold_price, assessed_value, sold_date FROM o_matched WHERE ratio IS NOT NULL""",
 )
 def k07(t):
-    rows = t.matched.where(F.col("sale_to_assessment_ratio").isNotNull())
-    return rows.select("mls_number", "sold_price", "assessed_value", "sold_date").orderBy(F.col("sold_date").desc_nulls_last())
+    shown = ["mls_number", "sold_price", "assessed_value", "sold_date"]
+    rows = t.matched_with(*shown, "sale_to_assessment_ratio").where(F.col("sale_to_assessment_ratio").isNotNull())
+    return rows.select(*shown).orderBy(F.col("sold_date").desc_nulls_last())
 
 
 ORACLE_ONLY["o_geo"] = """

@@ -68,21 +68,20 @@ SELECT area, property_type, median(ratio) AS median_ratio, count(*) AS n FROM (
 """
 
 
-def ratio_rows(t):
-    return t.matched.select(
-        "mls_number", "neighbourhood_code", F.col("assessed_type").alias("property_type"),
-        F.col("sale_to_assessment_ratio").alias("ratio"),
-    )
+def ratio_rows(t, *own: str):
+    """Area, type and ratio of the matched sales, behind columns of their own."""
+    rows = t.matched_with(*own, "neighbourhood_code", "assessed_type", "sale_to_assessment_ratio")
+    return rows.withColumnsRenamed({"assessed_type": "property_type", "sale_to_assessment_ratio": "ratio"})
 
 
 @query("p29_valid_ratios", "SELECT mls_number, property_type, round(ratio, 6) AS ratio FROM o_valid_ratio")
 def p29(t):
-    return rounded(ratio_rows(t).where(F.col("ratio").between(0.5, 2.0)).select("mls_number", "property_type", "ratio"), 6)
+    return rounded(ratio_rows(t, "mls_number").where(F.col("ratio").between(0.5, 2.0)).select("mls_number", "property_type", "ratio"), 6)
 
 
 @query("w07_trimmed_ratios", "SELECT mls_number, neighbourhood_code, property_type, round(ratio, 6) AS ratio FROM o_trimmed")
 def w07(t):
-    valid = ratio_rows(t).where(F.col("ratio").between(0.5, 2.0) & F.col("neighbourhood_code").isNotNull())
+    valid = ratio_rows(t, "mls_number").where(F.col("ratio").between(0.5, 2.0) & F.col("neighbourhood_code").isNotNull())
     return rounded(market.trim_outliers(valid, ["neighbourhood_code", "property_type"], "ratio"), 6)
 
 
@@ -151,7 +150,7 @@ def a27(t):
 
     r = F.col("sale_to_assessment_ratio")
     return rounded(
-        t.matched.groupBy("property_type").agg(
+        t.matched_with("property_type", "sale_to_assessment_ratio").groupBy("property_type").agg(
             F.count(F.lit(1)).alias("total"), F.count(r).alias("matched"), share(r.isNotNull()).alias("matched_pct")
         ), 6,
     )
@@ -165,7 +164,8 @@ def a27(t):
 def a27b(t):
     from terravalor.operators.features import fill_audit
 
-    return fill_audit(t.matched, ["matched_pid", "maint_fee", "bathrooms"])
+    audited = ["matched_pid", "maint_fee", "bathrooms"]
+    return fill_audit(t.matched_with(*audited), audited)
 
 
 @query("j09_wide_rates", "SELECT date, policy_rate, mortgage_5yr, mortgage_3yr FROM px_rates")

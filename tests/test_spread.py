@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from terravalor.operators import spatial
 from terravalor.operators.universe import classify
+from terravalor.plans import registry
 from terravalor.plans.tables import Tables
 
 
@@ -29,6 +30,17 @@ def test_backtest_is_not_repeated_for_each_figure(spark, sf):
     assert "p_brand" not in plan
 
 
+def test_queries_of_matched_sales_write_the_columns_they_need(spark, sf):
+    for name in ("a05_ratio_table", "x16_ratio_estimate", "a27_fill_audit", "k07_matched_export"):
+        t = Tables(spark, sf)
+        registry.QUERIES[name](t)
+        assert not {"sold", "matched"} & set(t.__dict__)
+    rows = t.matched_with("mls_number", "matched_pid", "maint_fee")
+    folder = rows.inputFiles()[0].rsplit("/", 1)[0]
+    assert spark.read.parquet(folder).columns == ["mls_number", "matched_pid", "maint_fee"]
+    assert rows.exceptAll(t.matched.select(*rows.columns)).isEmpty() and rows.count() == t.matched.count() > 0
+
+
 def test_a_filter_on_the_type_reads_the_zone_once(spark):
     rows = spark.range(10).select(F.concat(F.lit("rs-"), F.col("id")).alias("z"), F.lit("LAND").alias("l"))
     kept = rows.withColumn("kind", classify(F.col("z"), F.col("l"))).where("kind = 'detached'")
