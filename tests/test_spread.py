@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from terravalor.operators import spatial
 from terravalor.operators.universe import classify
+from terravalor import plans
 from terravalor.plans import registry
 from terravalor.plans.tables import Tables
 
@@ -31,6 +32,7 @@ def test_backtest_is_not_repeated_for_each_figure(spark, sf):
 
 
 def test_queries_of_matched_sales_write_the_columns_they_need(spark, sf):
+    plans.load()
     for name in ("a05_ratio_table", "x16_ratio_estimate", "a27_fill_audit", "k07_matched_export"):
         t = Tables(spark, sf)
         registry.QUERIES[name](t)
